@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import quality
+from factgrid.llm import linededup, quality
 from factgrid.llm.common import table
 
 
@@ -12,8 +12,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": linededup.ORACLE,
+}
