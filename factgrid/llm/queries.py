@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import linededup, quality
+from factgrid.llm import jaccard, linededup, quality
 from factgrid.llm.common import table
 
 
@@ -12,11 +12,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
