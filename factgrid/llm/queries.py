@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import jaccard, linededup, quality
+from factgrid.llm import jaccard, linededup, packing, quality
 from factgrid.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,9 +25,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
-    "op6_quality_rules": op6_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
