@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import decontam, jaccard, linededup, packing, quality
+from factgrid.llm import decontam, jaccard, linededup, packing, quality, rans
 from factgrid.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
 
