@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import decontam, jaccard, linededup, packing, quality, rans
+from factgrid.llm import decontam, jaccard, langid, linededup, packing, quality, rans
 from factgrid.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluated(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +39,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_files": op9_token_files,
