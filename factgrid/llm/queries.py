@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import decontam, jaccard, langid, linededup, packing, quality, rans
-from factgrid.llm.common import table
+from factgrid.llm import chat, decontam, jaccard, langid, linededup, packing, quality, rans, reshard
+from factgrid.llm.common import schema, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"))
 
 
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.sharded(table(spark, sf_dir, "documents"), old="source")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,6 +24,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluated(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], schema("conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.formatted(rows.unionByName(more)))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,8 +49,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_resharding": op2_resharding,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_files": op9_token_files,
