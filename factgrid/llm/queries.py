@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgrid.llm import chat, decontam, jaccard, langid, linededup, packing, quality, rans, reshard
+from factgrid.llm import chat, decontam, jaccard, langid, linededup, packing, pitman_yor, quality, rans, reshard
 from factgrid.llm.common import schema, table
 
 
@@ -35,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.evaluated(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
