@@ -9,8 +9,8 @@ shingle in their prefixes, the first |A| - ceil(t |A|) + 1 shingles of each, and
 
 * Small (light) sets pair with small sets through all 2-subsets of the longer prefix, each subset one signature.
 * Pairs with a large (heavy) set come from the inverted lists of prefix shingles.
-* The boundary between them is where the subsets of a set cost as much as scanning its lists, at the mean length of a list
-  as a scan meets it, which is counted over all postings.
+* The boundary between them is where a set makes as many subsets as its lists have members, at the mean length of a list,
+  which is counted over all lists. (Members of a long list meet its pivot alone at first, so long lists don't weigh more.)
 
 Within a list no pairs are expanded: first each member meets one pivot (the member nearest to the list's common text),
 links that hold are contracted to components, and then only members of different components meet, if sizes and places in
@@ -221,8 +221,8 @@ def _possible(percent: int) -> Column:
     return sizes & (reach >= _overlap_needed(F.col("n"), F.col("n2"), percent))
 
 
-def classes(documents: DataFrame, k: int, percent: int, scope: str = "query") -> DataFrame:
-    """doc_id, n, node, label for each row: node is the class of equal sets, label that of the component."""
+def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", boundary: int | None = None) -> DataFrame:
+    """doc_id, n, node, label for each row: node is the class of equal sets, label that of the component. boundary: the largest light set, by cost if None."""
     spark = documents.sparkSession
     docs = only(documents, doc_id="long", text="string")
     n_words = docs.agg(F.sum(F.length(F.coalesce("text", F.lit(""))) / 6).alias("n")).first()["n"] or 1
@@ -235,17 +235,16 @@ def classes(documents: DataFrame, k: int, percent: int, scope: str = "query") ->
     chosen = rows.where((F.col("n") >= least) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     classed = stored(named.join(chosen, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "classes", scope)
 
-    # the boundary: C(p + 1, 2) subsets against p lists of the mean length that a scan meets
-    lists = classed.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    mean = lists.agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.sum("c")).alias("m")).first()["m"] or 1.0
-    boundary = least - 1
-    while prefix_length(boundary + 1, percent, 2) <= 2 * mean - 1:
-        boundary += 1
+    if boundary is None:  # C(p + 1, 2) subsets against the members of p lists
+        lists = classed.select(F.explode("prefix").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("lists")).first()
+        mean, boundary = lists["n"] / max(1, lists["lists"]), least - 1
+        while prefix_length(boundary + 1, percent, 2) <= 2 * mean:
+            boundary += 1
     postings = classed.select("node", "n", "prefix").mapInArrow(_signatures(percent, boundary), schema("key long, node binary, n long, place int"))
 
     # lists of one member are most of them: they go before anything is kept
     heavy = F.max("n") > boundary
-    nearest = F.min(F.struct((F.col("n") <= boundary).alias("light"), "place", "n", "node"))
+    nearest = F.min(F.struct((F.col("n") <= boundary).alias("light"), "place", (-F.col("n")).alias("less"), "n", "node"))
     heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c"), nearest.alias("pivot"), heavy.alias("heavy"), F.max("place").alias("far")).where((F.col("c") > 1) & (F.col("heavy") | (F.col("far") == 0)))
     kept = stored(postings.join(heads.select("key", "pivot"), "key"), "postings", scope)
 
@@ -284,9 +283,9 @@ def _verified(docs: DataFrame, classed: DataFrame, pairs: DataFrame, k: int, per
     return stored(two.mapInArrow(_linked(percent), schema("a binary, b binary")), "links", scope)
 
 
-def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "query") -> DataFrame:
+def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "query", boundary: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
-    rows = stored(classes(documents, k, percent, scope), "labelled", scope)
+    rows = stored(classes(documents, k, percent, scope, boundary), "labelled", scope)
     names = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = rows.join(names, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
