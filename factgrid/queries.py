@@ -474,8 +474,9 @@ def v7(spark, sf_dir):
 # ---- claims: documents, conversations, events ----------------------------------------------------------------------
 
 _PATTERN = r"([A-Za-z]+) of ([A-Za-z]+)"
+_FOLDED = f"(?i){_PATTERN}"
 _STOP = "'bir','bu','ve','ile','the','a','an','is','are','was','were','this','that','these','function','fonksiyon','method','metod','class','variable','yok','none','true','false'"
-_PHRASES = f"""m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERN}', 1)) AS s, unnest(regexp_extract_all(text, '{_PATTERN}', 2)) AS o, generate_subscripts(regexp_extract_all(text, '{_PATTERN}', 1), 1) AS i FROM documents),
+_PHRASES = f"""m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_FOLDED}', 1)) AS s, unnest(regexp_extract_all(text, '{_FOLDED}', 2)) AS o, generate_subscripts(regexp_extract_all(text, '{_FOLDED}', 1), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, lower(s) AS subject, lower(o) AS object FROM m WHERE length(s) >= 2 AND length(o) >= 2 AND lower(s) NOT IN ({_STOP}) AND lower(o) NOT IN ({_STOP}))"""
 
 
@@ -559,3 +560,179 @@ def c2(spark, sf_dir):
     body = F.concat(F.lit('```json\n{"functions": [{"name": "'), "event_type", F.lit('", "calls": ["u'), F.col("user_id").cast("string"), F.lit('", "a.b", 7]}, 5, {"calls": []}]}\n```'))
     rows = e.select("event_id", F.explode(claims.json_claims(body)).alias("c"))
     return rows.select("event_id", "c.subject", "c.claim_type", "c.object")
+
+
+# ---- programs of our own: what no table holds, rows only ------------------------------------------------------------
+
+PROGRAM = '''
+import os, sys as system
+from math import sqrt
+
+LIMIT = 10
+SCALE: int = LIMIT * 2
+
+
+class Shape(Base):
+    kind = "shape"
+
+    def area(self, w, *rest, **more) -> float:
+        """Area."""
+        total = sqrt(w)
+        return self.helper(total)
+
+    def helper(self, x):
+        return x
+
+
+def run(n):
+    shape = Shape()
+    for i in range(n):
+        print(shape.area(i))
+    return finish(n)
+
+
+def finish(n):
+    return n
+
+
+run(LIMIT)
+'''
+RESPONSE = '{"functions": [{"name": "run", "calls": ["area", "finish", "missing"]}, {"name": "ghost", "calls": []}]}'
+
+
+def sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("a.py", PROGRAM), ("broken.py", "def ("), ("empty.py", "")], "file_id string, code string")
+
+
+def _program_query(name: str):
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from factgrid.plans.analysis import program
+
+            return f(spark, program(sources(spark)))
+
+        QUERIES[name] = run
+        return f
+
+    return put
+
+
+for _name, _pick in {
+    "x1_facts": lambda spark, p: p.facts.select("file_id", F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("variables").alias("variables"), F.size("imports").alias("imports"), "error"),
+    "x2_functions": lambda spark, p: p.functions,
+    "x3_classes": lambda spark, p: p.classes,
+    "x4_imports": lambda spark, p: p.imports,
+    "x6_variables": lambda spark, p: p.variables,
+    "x7_calls": lambda spark, p: p.call_rel,
+}.items():
+    _program_query(_name)(_pick)
+
+
+@_program_query("x12_all_entities")
+def x12(spark, p):
+    from factgrid.sources import syntax
+
+    return syntax.all_entities(p.facts)
+
+
+@_program_query("x13_module_calls")
+def x13(spark, p):
+    from factgrid.sources import syntax
+
+    return syntax.module_calls(p.facts)
+
+
+@_program_query("k7_graph_json")
+def k7(spark, p):
+    from factgrid.sinks import export
+
+    return export.graph_json(p.nodes, p.edges)
+
+
+def _responses(spark: SparkSession) -> DataFrame:
+    from factgrid.sources.providers import generate
+
+    own = spark.createDataFrame([("a.py", "json", RESPONSE, [])], "file_id string, run_id string, content string, reasoning_steps array<string>")
+    return generate(sources(spark), "mock", run_id="mock").select(*own.columns).unionByName(own)
+
+
+@_query("s8_mock_responses")
+def s8(spark, sf_dir):
+    return _responses(spark).select("file_id", "run_id", "content", F.size("reasoning_steps").alias("steps"))
+
+
+@_query("c1_claims")
+def c1(spark, sf_dir):
+    return claims.extracted(_responses(spark))
+
+
+@_query("c14_mock_steps")
+def c14(spark, sf_dir):
+    return claims.reasoning_steps(_responses(spark), mock=True)
+
+
+@_query("v1_verdicts")
+def v1(spark, sf_dir):
+    from factgrid.plans.analysis import analyse
+
+    return analyse(sources(spark), _responses(spark)).verdicts.select("file_id", "run_id", "ord", "claim_type", "subject", "object", "result", "verdict_confidence", "reason")
+
+
+@_query("k9_comparison_json")
+def k9(spark, sf_dir):
+    from factgrid.plans.analysis import RUN, compare
+    from factgrid.sinks import export
+
+    done = compare(sources(spark), _responses(spark))
+    return export.api_json(done.truth, done.claimed, done.comparison, done.scores, RUN)
+
+
+@_query("s4_requests")
+def s4(spark, sf_dir):
+    from factgrid.sources.files import code_info, read_requests
+
+    bodies = spark.createDataFrame([("1", '{"code": "x = 1\\ny = 2", "use_llm": false}'), ("2", '{"code": "  "}'), ("3", "{}")], "file_id string, body string")
+    asked = read_requests(bodies)
+    return asked.join(code_info(asked), "file_id").select("file_id", "use_llm", "provider", "lines")
+
+
+@_query("s11_prompts")
+def s11(spark, sf_dir):
+    from factgrid.sources.providers import prompts
+
+    return prompts(sources(spark), "openai", F.lit("review")).select("file_id", "prompt")
+
+
+@_query("k3_report_rows")
+def k3(spark, sf_dir):
+    from factgrid.plans.analysis import analyse
+    from factgrid.sinks.report import numbered
+
+    return numbered(analyse(sources(spark), _responses(spark)).verdicts)
+
+
+_K12 = f"WITH {_E}, c AS (SELECT DISTINCT caller AS id FROM t UNION SELECT DISTINCT callee FROM t) SELECT id FROM c"
+
+
+@_query("k12_drawn_nodes", _K12)
+def k12(spark, sf_dir):
+    from factgrid.sinks.export import drawn_nodes
+
+    return drawn_nodes(call_edges(spark, sf_dir)[0], ["file_id"]).select("id")
+
+
+@_query("k12_score_label", "SELECT run_id, CASE WHEN h > 30 THEN 'danger' WHEN h > 10 OR p < 70 THEN 'warning' ELSE 'success' END AS label FROM (SELECT CAST(user_id AS VARCHAR) AS run_id, 100 * avg(CASE WHEN value > 150 THEN 1.0 ELSE 0 END) AS h, 100 * avg(CASE WHEN value < 100 THEN 1.0 ELSE 0 END) AS p FROM events GROUP BY 1) r")
+def k12_label(spark, sf_dir):
+    from factgrid.sinks.export import score_label
+
+    share = lambda c: (100 * F.avg(F.when(c, 1.0).otherwise(0.0)))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(share(F.col("value") > 150).alias("hallucination_rate"), share(F.col("value") < 100).alias("precision"))
+    return score_label(e).select("run_id", "label")
+
+
+@_query("k11_node_colours", f"WITH {_P} SELECT file_id, id, CASE node_type WHEN 'function' THEN '#4CAF50' ELSE '#FF9800' END AS colour FROM cn")
+def k11(spark, sf_dir):
+    from factgrid.sinks.export import node_colour
+
+    f, _, _, calls = programs(spark, sf_dir)
+    return graph.call_graph(f, calls)[0].select("file_id", "id", node_colour(F.col("node_type")).alias("colour"))
