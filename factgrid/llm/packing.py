@@ -46,8 +46,7 @@ def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], It
         step = 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = e.encode(text)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), e.encode_all(batch.column(1).to_pylist()), strict=True):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for to, x in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -157,7 +157,7 @@ _IDS = "shard int, block int, n long, doc_ids array<long>, lengths array<long>,
 def _blocks(path: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard, block = encoder(path, "bytes"), TaskContext.get().partitionId(), 0
-        kind = np.uint16 if len(e.packed) <= 1 << 16 else np.uint32
+        kind = np.uint16 if e.small else np.uint32
         docs, lengths, held, n = [], [], [], 0
 
         def ship() -> pa.RecordBatch:
@@ -165,8 +165,8 @@ def _blocks(path: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "n", "doc_ids", "lengths", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(e.encode(text), dtype="<u4")
+            for doc_id, raw in zip(batch.column(0).to_pylist(), e.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(raw, dtype="<u4")
                 docs.append(doc_id)
                 lengths.append(len(ids))
                 held.append(ids.astype(kind).tobytes())

@@ -15,19 +15,26 @@ unsigned 32-bit integers. It begins anew when it is full.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import unicodedata
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 #: Unicode white space, as the vocabulary's pattern has it.
 _WS = "\t-\r \x85\xa0  -     　"
 _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: A stop or comma that may belong to what stands before it.
-_BOUND_STOP = re.compile(r"(?:[\W_]|^)[.,][ \n]")
-_ODD_SPACE = re.compile(f"[ \n][ \n]|[\t\x0b-\r\x85\xa0  -     　\x01]|^[ \n]|[ \n]$")
+#: A stop or comma that may belong to what stands before it: no letter or digit is there.
+_BOUND_STOP = re.compile(r"[.,](?<![^\W_][.,])[ \n]")
+#: White space other than space and line feed, and the mark itself.
+_ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
 END = (0).to_bytes(4, "little")
-MAX_CACHED = 800_000
+MAX_CACHED = 1_300_000
 #: Plain words that are encoded in one string; where each begins or ends shows in its tokens.
 _JOINED = 64
+_TOGETHER = 32
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -44,15 +51,20 @@ class Encoder:
 
     def __init__(self, path: str, splitting: str, max_cached: int = MAX_CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.splitting, self.max_cached = splitting, max_cached
         size = self.tokenizer.get_vocab_size()
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.edge = [t.endswith("</w>") if splitting == "words" else t.startswith("Ġ") for t in tokens]
+        self.edge = np.array([t.endswith("</w>") if splitting == "words" else t.startswith("Ġ") for t in tokens])
+        # plain words need no normal form and no pattern: the same model behind a splitter that knows spaces alone
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level]) if splitting == "words" else level
+        self.small = size <= 1 << 16
         self._clear()
 
     def _clear(self) -> None:
@@ -67,44 +79,54 @@ class Encoder:
             return text.replace("\n", " ").split(" ")
         if not text:
             return []
-        if _ODD_SPACE.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _ODD_SPACE.search(text):
             return ["\x01" + p for p in _COARSE.findall(text)]
         if not _BOUND_STOP.search(text):
             text = text.replace(". ", " \x01. ").replace(", ", " \x01, ").replace(".\n", " \x01.\n").replace(",\n", " \x01,\n")
         return ("\x01" + text.replace("\n", " \x01\n \x01")).split(" ")
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _is_plain(self, piece: str) -> bool:
+        """Letters alone, which the vocabulary's normal form and splitting leave as they are."""
+        return piece.isalpha() and (self.splitting == "bytes" or piece.isascii() or (piece == piece.lower() and unicodedata.is_normalized("NFC", piece)))
+
+    def _learn(self, pieces: set[str]) -> None:
         new = {p for p in pieces if p not in self.cache}
         if len(self.cache) + len(new) > self.max_cached:
             self._clear()
-            new = {*pieces} - {*self.cache}
-        plain = [p for p in new if p.isascii() and p.isalpha()]
-        other = [p for p in new if not (p.isascii() and p.isalpha())]
-        words, edge, packed, encode = self.splitting == "words", self.edge, self.packed, self.tokenizer.encode_batch_fast
+            new = {p for p in pieces if p not in self.cache}
+        plain = [p for p in new if self._is_plain(p)]
+        other = [*new.difference(plain)]
+        words = self.splitting == "words"
         if other:
             raw = other if words else [p[1:] if p[0] == "\x01" else " " + p for p in other]
-            for p, x in zip(other, encode(raw, add_special_tokens=False), strict=True):
-                self.cache[p] = b"".join(map(packed.__getitem__, x.ids))
+            for p, x in zip(other, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
+                self.cache[p] = np.array(x.ids, dtype="<u4").tobytes()
         groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for group, x in zip(groups, encode([("" if words else " ") + " ".join(g) for g in groups], add_special_tokens=False) if groups else (), strict=True):
-            found: list[list[bytes]] = []
-            begun = True
-            for i in x.ids:
-                if begun or (not words and edge[i]):
-                    found.append([])
-                found[-1].append(packed[i])
-                begun = words and edge[i]
-            assert len(found) == len(group)
-            self.cache.update(zip(group, map(b"".join, found), strict=True))
+        for group, x in zip(groups, self.plain.encode_batch_fast([("" if words else " ") + " ".join(g) for g in groups], add_special_tokens=False) if groups else (), strict=True):
+            ids = np.array(x.ids, dtype="<u4")
+            raw, at = ids.tobytes(), np.flatnonzero(self.edge[ids])
+            ends = ((at + 1) * 4 if words else np.append(at[1:], len(ids)) * 4).tolist()
+            assert len(ends) == len(group)
+            begin = 0
+            for p, end in zip(group, ends, strict=True):
+                self.cache[p] = raw[begin:end]
+                begin = end
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """For each text its ids and the end id, as little-endian unsigned 32-bit integers; new pieces of several texts are learnt at once."""
+        texts = iter(texts)
+        while some := [self.pieces(t or "") for t in itertools.islice(texts, _TOGETHER)]:
+            get = self.cache.__getitem__
+            try:
+                out = [b"".join(map(get, p)) + END for p in some]
+            except KeyError:
+                self._learn(set().union(*some))
+                get = self.cache.__getitem__
+                out = [b"".join(map(get, p)) + END for p in some]
+            yield from out
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text and the end id, as little-endian unsigned 32-bit integers."""
-        pieces = self.pieces(text or "")
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces)) + END
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.cache.__getitem__, pieces)) + END
+        return next(self.encode_all([text]))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
