@@ -120,8 +120,11 @@ def planned(blocks: list[tuple[int, int, int, int]], n_old: int, n_new: int) ->
         shard[i, b] = j
         load[j] += size
         held[j].append((size, i, b))
+    fixed: set[int] = set()  # shards that hold too much and can give nothing, as one document may be larger than a shard
     for _ in range(20 * n_new):
-        most, least = max(range(n_new), key=load.__getitem__), min(range(n_new), key=load.__getitem__)
+        if len(fixed) >= n_new - 1:
+            break
+        most, least = max((j for j in range(n_new) if j not in fixed), key=load.__getitem__), min(range(n_new), key=load.__getitem__)
         gap = load[most] - load[least]
         # the block whose move, or the pair whose exchange, brings the two closest together; blocks that move anyway first
         best = min(((abs(gap - 2 * s), i == most, s, i, b, None) for s, i, b in held[most] if s), default=None, key=lambda x: x[:5])
@@ -129,7 +132,8 @@ def planned(blocks: list[tuple[int, int, int, int]], n_old: int, n_new: int) ->
             own, other = sorted(held[most])[:400], sorted(held[least])[:400]
             best = min(((abs(gap - 2 * (x[0] - y[0])), False, x[0], x[1], x[2], y) for x in own for y in other if x[0] > y[0]), default=None, key=lambda x: x[:5])
             if best is None or best[0] >= gap:
-                break
+                fixed.add(most)
+                continue
         _, _, s, i, b, back = best
         for (size, x, y), a, z in [((s, i, b), most, least)] + ([(back, least, most)] if back else []):
             held[a].remove((size, x, y))
