@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factgrid.functions.names import is_builtin
 from factgrid.operators import graph
 from factgrid.operators.resolve import resolved
+from factgrid.storage import cut
 
 CALL_CONFIDENCE = {"unverifiable": 0.3, "builtin": 0.9, "no_object": 0.8, "path": 0.6, "none": 0.9}
 FLOW_CONFIDENCE = {"unverifiable": 0.3, "path": 0.85, "reversed": 0.6, "none": 0.7}
@@ -32,16 +33,16 @@ def verified(claims: DataFrame, vocab: DataFrame, nodes: DataFrame, edges: DataF
     asked = claims.withColumn("_t", mention_types(F.col("claim_type")))
     one = asked.select("file_id", F.col("subject").alias("text"), F.col("_t.s").alias("expected_type"))
     two = asked.select("file_id", F.col("object").alias("text"), F.col("_t.o").alias("expected_type"))
-    matches = resolved(one.unionByName(two).where("text is not null"), vocab, **matching)
+    matches = cut(resolved(one.unionByName(two).where("text is not null"), vocab, **matching), "matches")
     side = lambda name, text, kind: matches.select(F.col("file_id"), F.col("text").alias(text), F.col("expected_type").alias(kind), F.struct("code_entity", "match_type", "confidence", "entity_type").alias(name))
     met = asked.withColumn("_ts", F.col("_t.s")).withColumn("_to", F.col("_t.o"))
     met = met.join(side("subject_match", "subject", "_ts"), ["file_id", "subject", "_ts"], "left").join(side("object_match", "object", "_to"), ["file_id", "object", "_to"], "left")
     s, o = F.col("subject_match.code_entity"), F.col("object_match.code_entity")
-
     direct = graph.in_graph(edges, "call").select("file_id", F.col("src").alias("_s"), F.col("dst").alias("_o")).distinct().withColumn("_edge", F.lit(True))
     # a callee that no vocabulary has is looked for as it was said
     met = met.withColumn("_s", s).withColumn("_o", F.coalesce(o, F.col("object"))).join(direct, ["file_id", "_s", "_o"], "left")
-    edge = F.coalesce("_edge", F.lit(False))
+    met = cut(met.withColumn("_edge", F.coalesce("_edge", F.lit(False))), "met")  # path questions and verdicts both read it
+    edge = F.col("_edge")
 
     call, flow = F.col("claim_type") == "call", F.col("claim_type") == "data_flow"
     both = s.isNotNull() & o.isNotNull()

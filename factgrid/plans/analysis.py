@@ -39,7 +39,7 @@ def program(sources: DataFrame) -> Program:
     facts = cut(syntax.facts(sources), "facts")
     f, c, v, i, r = syntax.functions(facts), syntax.classes(facts), syntax.variables(facts), syntax.imports(facts), syntax.call_rel(facts)
     nodes, edges = graph.build(f, c, v, r)
-    return Program(facts, f, c, v, i, r, nodes, edges, resolve.vocabulary(f, c, v, i))
+    return Program(facts, f, c, v, i, r, cut(nodes, "nodes"), cut(edges, "edges"), cut(resolve.vocabulary(f, c, v, i), "vocab"))
 
 
 @dataclass
