@@ -242,11 +242,13 @@ def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", bo
             boundary += 1
     postings = classed.select("node", "n", "prefix").mapInArrow(_signatures(percent, boundary), schema("key long, node binary, n long, place int"))
 
-    # lists of one member are most of them: they go before anything is kept
+    # lists of one member are most of them: they go by a count alone, before anything wider is moved or kept
+    shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    listed = stored(postings.join(shared_keys, "key", "left_semi"), "listed", scope)
     heavy = F.max("n") > boundary
     nearest = F.min(F.struct((F.col("n") <= boundary).alias("light"), "place", (-F.col("n")).alias("less"), "n", "node"))
-    heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c"), nearest.alias("pivot"), heavy.alias("heavy"), F.max("place").alias("far")).where((F.col("c") > 1) & (F.col("heavy") | (F.col("far") == 0)))
-    kept = stored(postings.join(heads.select("key", "pivot"), "key"), "postings", scope)
+    heads = listed.groupBy("key").agg(nearest.alias("pivot"), heavy.alias("heavy"), F.max("place").alias("far")).where(F.col("heavy") | (F.col("far") == 0))
+    kept = stored(listed.join(heads.select("key", "pivot"), "key"), "postings", scope)
 
     stars = kept.where(F.col("node") != F.col("pivot.node")).select("node", "n", "place", F.col("pivot.node").alias("node2"), F.col("pivot.n").alias("n2"), F.col("pivot.place").alias("place2"))
     pairs = stars.where(_possible(percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
