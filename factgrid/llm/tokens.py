@@ -31,7 +31,7 @@ _BOUND_STOP = re.compile(r"[.,](?<![^\W_][.,])[ \n]")
 #: White space other than space and line feed, and the mark itself.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
 END = (0).to_bytes(4, "little")
-MAX_CACHED = 1_300_000
+MAX_CACHED = 600_000
 #: Plain words that are encoded in one string; where each begins or ends shows in its tokens.
 _JOINED = 64
 _TOGETHER = 32
