@@ -239,13 +239,13 @@ _REACH = f"""WITH RECURSIVE {_S}, w AS (SELECT src, src AS dst, 0 AS hops, [src]
 @_query("q2_has_path", f"{_REACH} SELECT DISTINCT src, dst FROM w")
 def q2(spark, sf_dir):
     e = supplier_edges(spark, sf_dir)
-    return graph.shortest_paths(e.select("file_id", "src"), e, _HOPS).select("src", "dst")
+    return graph.shortest_paths(e.select("file_id", "src"), e).select("src", "dst")
 
 
 @_query("q3_find_path", f"{_REACH}, m AS (SELECT src, dst, min(hops) AS hops FROM w GROUP BY 1, 2) SELECT src, dst, m.hops, array_to_string(min(path), '>') AS path FROM w JOIN m USING (src, dst) WHERE w.hops = m.hops GROUP BY 1, 2, 3")
 def q3(spark, sf_dir):
     e = supplier_edges(spark, sf_dir)
-    return graph.shortest_paths(e.select("file_id", "src"), e, _HOPS).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
+    return graph.shortest_paths(e.select("file_id", "src"), e).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
 @_query("q4_all_paths", f"{_REACH} SELECT src, dst, array_to_string(path, '>') AS path FROM w WHERE hops > 0 AND dst IN ('s1', 's2', 's3', 's5')")
