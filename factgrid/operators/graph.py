@@ -143,15 +143,17 @@ def has_path(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str = "
 
 
 def simple_paths(pairs: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """file_id, src, dst, path: every path without a repeated node, of at most max_hops edges; there can be very many."""
+    """file_id, src, dst, path: every path without a repeated node, of at most max_hops edges; there can be very many. Pairs without a dst ask for every end."""
     step = cut(edges.select("file_id", F.col("src").alias("at"), F.col("dst").alias("next")).distinct(), "edges")
-    wanted = pairs.select("file_id", "src", "dst").distinct()
+    every = "dst" not in pairs.columns
+    wanted = pairs.select("file_id", "src", *([] if every else ["dst"])).distinct()
     live = wanted.select("file_id", "src").distinct().select("file_id", "src", F.col("src").alias("at"), F.array("src").alias("path"))
     found = None
     for _ in range(max_hops):
         live = live.join(step, ["file_id", "at"]).where(~F.array_contains("path", F.col("next")))
         live = cut(live.select("file_id", "src", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")), "paths")
-        own = live.withColumnRenamed("at", "dst").join(wanted, ["file_id", "src", "dst"], "left_semi").select("file_id", "src", "dst", "path")
+        own = live.withColumnRenamed("at", "dst")
+        own = (own if every else own.join(wanted, ["file_id", "src", "dst"], "left_semi")).select("file_id", "src", "dst", "path")
         found = own if found is None else found.unionByName(own)
     return found
 

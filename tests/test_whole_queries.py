@@ -49,3 +49,14 @@ def test_paths_of_any_length_are_found(spark, sf):
         path = r["path"].split(">")
         assert (path[0], path[-1], len(path)) == (r["src"], r["dst"], r["hops"] + 1)
         assert all(b in g[a] for a, b in zip(path, path[1:]))
+
+
+def test_all_paths_lead_to_every_node(spark, sf):
+    g, want = following(), []
+    live = [(a,) for a in g]
+    for _ in range(6):
+        live = [(*p, d) for p in live for d in g.get(p[-1], ()) if d not in p]
+        want += live
+    assert len({p[-1] for p in want}) > 20
+    rows = QUERIES["q4_all_paths"](spark, sf).collect()
+    assert sorted((r["src"], r["dst"], r["path"]) for r in rows) == sorted((p[0], p[-1], ">".join(p)) for p in want)
