@@ -554,7 +554,7 @@ def c13(spark, sf_dir):
 
 @_query("c2_json_claims", f"SELECT event_id, event_type AS subject, 'existence' AS claim_type, NULL::VARCHAR AS object FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_type, 'call', 'u' || user_id FROM events WHERE event_id % 3 = 0")
 def c2(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     body = F.concat(F.lit('```json\n{"functions": [{"name": "'), "event_type", F.lit('", "calls": ["u'), F.col("user_id").cast("string"), F.lit('", "a.b", 7]}, 5, {"calls": []}]}\n```'))
     rows = e.select("event_id", F.explode(claims.json_claims(body)).alias("c"))
     return rows.select("event_id", "c.subject", "c.claim_type", "c.object")

@@ -60,3 +60,10 @@ def test_all_paths_lead_to_every_node(spark, sf):
     assert len({p[-1] for p in want}) > 20
     rows = QUERIES["q4_all_paths"](spark, sf).collect()
     assert sorted((r["src"], r["dst"], r["path"]) for r in rows) == sorted((p[0], p[-1], ">".join(p)) for p in want)
+
+
+def test_claims_come_from_every_event(spark, tmp_path):
+    spark.createDataFrame([(k, f"t{k}", 10 + k) for k in range(7)], "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r[c] for c in ("event_id", "subject", "claim_type", "object")) for r in QUERIES["c2_json_claims"](spark, str(tmp_path)).collect()]
+    want = [x for k in range(7) for x in ((k, f"t{k}", "existence", None), (k, f"t{k}", "call", f"u{10 + k}"))]
+    assert sorted(got, key=str) == sorted(want, key=str)
