@@ -8,12 +8,18 @@ runs in parallel. The first sweep burns in, SWEEPS follow, and predictive probab
 linear in the numbers of tables, so averages of tables give them). score is the log10 probability of a text's tokens, each
 after the one before it, and the first after an end.
 
+A child is sampled before its parent: the weight of its new table is (c + 1) / (N + V + 1), from the word's count in all
+training texts. The parent then is sampled with the children's tables as its customers.
+
 How it is spread: texts become chunks of tokens (numbers in the chunk's own vocabulary), written to the shared folder. A
 chunk sends each distinct pair once, with its count in training texts, to the shard of the pair's first word; pairs of very
-frequent first words are dealt by both words. Shards merge counts, sample, answer the chunks in the order of their requests,
-and send sums of tables to the shards of words; these merge word counts, sample the parent, and answer likewise. Last, each
-chunk meets its answers and scores its documents. What moves is sorted arrays, compressed: distinct words and pairs of each
-chunk, which grow with the corpus, and no rows for single tokens. SHARDS grows with the number of tokens.
+frequent first words are dealt by both words. Shards merge counts and ask the shards of words for the counts of their dishes;
+these merge word counts of the chunks. Before each sweep the tables of all shards are summed, of each restaurant that is dealt
+over the shards, and of the parent; a pass repeats the sweeps before it from the same random numbers, so no seating is kept.
+Shards answer the chunks in the order of their requests, and send sums of tables to the shards of words, which sample the
+parent and answer likewise. Last, each chunk meets its answers and scores its documents. What moves is sorted arrays,
+compressed: distinct words and pairs of each chunk, which grow with the corpus, and no rows for single tokens. SHARDS grows
+with the number of tokens.
 
 Word counts (c, N, V) use 64-bit hashes of words and are exact counts of all training tokens; the model's pairs use 40 bits
 for each word. Nulls: a null text is empty: one end; a document with a null doc_id belongs to training. Rows that repeat
@@ -22,6 +28,8 @@ count as often as they are there. An empty table gives an empty result; without
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import crc32_of_id, only, schema, stored
+from factgrid.llm.common import crc32_of_id, only, release, schema, stored
 
 DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
@@ -153,8 +161,6 @@ def _pair_requests(shards: int, shared) -> Callable[[Iterator[pa.RecordBatch]],
                 counts = np.zeros(len(distinct), dtype=np.uint32)
                 counts[np.searchsorted(distinct, known)] = times
                 order, bounds, first, second = _dealt(vocabulary, distinct, shared.value, shards)
-                share = np.bincount(numbers, minlength=len(vocabulary)) / len(numbers)
-                rank = np.minimum(255, np.round(-8 * np.log2(share)))[distinct[order] % len(vocabulary)].astype(np.uint8)
                 counts = counts[order]
                 targets, parts = [], []
                 for s in range(shards):
@@ -165,7 +171,7 @@ def _pair_requests(shards: int, shared) -> Callable[[Iterator[pa.RecordBatch]],
                         runs = np.diff(np.append(starts, len(u))).astype(np.uint32)
                         w = second[own]
                         targets.append(s)
-                        parts.append(_pack(u[starts], runs, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), (w >> np.uint64(32)).astype(np.uint8), counts[own], rank[own]))
+                        parts.append(_pack(u[starts], runs, (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), (w >> np.uint64(32)).astype(np.uint8), counts[own]))
                 yield _mail([2] * len(targets), targets, [row["chunk"]] * len(targets), parts)
 
     return run
@@ -200,22 +206,29 @@ def _posted(rows: list[tuple]) -> pa.Table:
 # ---- shards --------------------------------------------------------------------------------------------------------
 
 
-def _children(shards: int, shared) -> Callable[[pa.Table], pa.Table]:
-    """Merges the pairs of a shard, samples its restaurants, answers the chunks and reports sums of tables to the shards of words."""
+def _steps(at: np.ndarray) -> bytes:
+    return _pack(np.diff(at, prepend=0).astype(np.int32))[0]
+
+
+def _places(part: bytes) -> np.ndarray:
+    return np.cumsum(_unpack([part], np.int32)[0], dtype=np.int64)
+
+
+def _merged(shards: int) -> Callable[[pa.Table], pa.Table]:
+    """Merges the pairs of a shard. Kind 6: its contexts, dishes and counts; 7: where a chunk's requests are; 8: dishes asked of a shard of words."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("origin")
         shard, origins = table.column("target")[0].as_py(), table.column("origin").to_pylist()
-        us, ws, cs, ps, sizes = [], [], [], [], []
+        us, ws, cs, sizes = [], [], [], []
         for parts in table.column("parts").to_pylist():
-            u, runs, low, high, c, rank = _unpack(parts, np.uint64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint8)
+            u, runs, low, high, c = _unpack(parts, np.uint64, np.uint32, np.uint32, np.uint8, np.uint32)
             us.append(np.repeat(u, runs))
             ws.append((high.astype(np.uint64) << np.uint64(32)) | low)
             cs.append(c.astype(np.float64))
-            ps.append(rank)
             sizes.append(len(c))
-        u, w, c, p = (np.concatenate(x) for x in (us, ws, cs, ps))
-        del us, ws, cs, ps
+        u, w, c = (np.concatenate(x) for x in (us, ws, cs))
+        del us, ws, cs
         order = np.lexsort((w, u))
         su, sw = u[order], w[order]
         fresh = np.concatenate(([True], (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])))
@@ -224,26 +237,117 @@ def _children(shards: int, shared) -> Callable[[pa.Table], pa.Table]:
         group[order] = np.cumsum(fresh) - 1
         u, w = su[starts], sw[starts]
         counts = np.bincount(group, weights=c, minlength=len(starts))
-        weight = np.bincount(group, weights=np.exp2(-p / 8.0), minlength=len(starts)) / np.bincount(group, minlength=len(starts))
-        room = np.cumsum(np.concatenate(([True], u[1:] != u[:-1]))) - 1
-        contexts = u[np.concatenate(([True], u[1:] != u[:-1]))]
-        often = np.where(np.isin(contexts, np.asarray(shared.value, dtype=np.uint64) >> _SHORT), shards, 1)  # such a restaurant is dealt over all shards
-        rng = np.random.default_rng(1_000_003 * shard + 17)
-        tables = np.minimum(counts, 1)
-        mean = np.zeros(len(tables))
-        for sweep in range(1 + SWEEPS):
-            total = np.bincount(room, weights=tables) * often
-            tables = seated(counts, (STRENGTH + DISCOUNT * np.maximum(0, total[room] - tables)) * weight, DISCOUNT, rng)
-            mean += tables / SWEEPS if sweep else 0
-        numerator = (counts - DISCOUNT * mean).astype(np.float32)
-        out = []
+        rooms = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+        dishes, which = np.unique(w, return_inverse=True)
+        out = [(6, shard, -1, _pack(u[rooms], np.diff(np.append(rooms, len(u))).astype(np.uint32), dishes, which.astype(np.uint32), counts.astype(np.int64)))]
         at = 0
         for origin, size in zip(origins, sizes, strict=True):
-            out.append((0, origin, shard, _pack(numerator[group[at : at + size]])))
+            out.append((7, shard, origin, [_steps(group[at : at + size])]))
             at += size
-        in_context = contexts, np.bincount(room, weights=mean), np.bincount(room, weights=counts)
-        dishes, which = np.unique(w, return_inverse=True)
-        as_dish = dishes, np.bincount(which, weights=mean)
+        bounds = _word_bounds(dishes, shards)
+        out += [(8, s, shard, _pack(dishes[bounds[s] : bounds[s + 1]])) for s in range(shards) if bounds[s] < bounds[s + 1]]
+        return _posted(out)
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Merges the word counts of a shard. Kind 10: words and counts; 11: where a chunk's requests are; 9: counts of the dishes asked; 4: sums for all."""
+    table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
+    shard = table.column("target")[0].as_py()
+    asked, words, counts, dishes = [], [], [], []
+    for kind, origin, parts in zip(table.column("kind").to_pylist(), table.column("origin").to_pylist(), table.column("parts").to_pylist(), strict=True):
+        if kind == 2:
+            own, c = _unpack(parts, np.uint64, np.uint32)
+            asked.append((origin, len(own)))
+            words.append(own)
+            counts.append(c)
+        else:
+            dishes.append((origin, _unpack(parts, np.uint64)[0]))
+    vocabulary, which = np.unique(np.concatenate(words), return_inverse=True)
+    c = np.bincount(which, weights=np.concatenate(counts))
+    short = vocabulary >> _SHORT
+    out = [(10, shard, -1, _pack(short, c.astype(np.int64))), (4, -1, shard, [np.array([c.sum(), float((c > 0).sum())]).tobytes()])]
+    at = 0
+    for origin, size in asked:
+        out.append((11, shard, origin, [_steps(which[at : at + size])]))
+        at += size
+    out += [(9, origin, shard, _pack(c[np.searchsorted(short, own)].astype(np.int64))) for origin, own in dishes]
+    return _posted(out)
+
+
+def _weighed(table: pa.Table) -> pa.Table:
+    """A shard's pairs (kind 6) with the counts of their dishes in all training texts."""
+    table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
+    first, *answers = table.column("parts").to_pylist()
+    return _posted([(6, table.column("target")[0].as_py(), -1, [*first, *_pack(np.concatenate([_unpack(x, np.int64)[0] for x in answers]))])])
+
+
+class _Restaurants:
+    """The restaurants of a shard. Hot ones are dealt over all shards: they are sampled apart, given their tables in all shards before each sweep."""
+
+    def __init__(self, shard: int, parts: list[bytes], hot: np.ndarray, n_all: float, v: float):
+        self.contexts, runs, self.dishes, self.which, c, of_dish = _unpack(parts, np.uint64, np.uint32, np.uint64, np.uint32, np.int64, np.int64)
+        self.shard, self.counts = shard, c.astype(np.float64)
+        self.room = np.repeat(np.arange(len(runs)), runs)
+        self.weight = ((of_dish + 1.0) / (n_all + v + 1.0))[self.which]
+        self.hot = np.isin(self.contexts, hot)
+        self.place = np.searchsorted(hot, self.contexts[self.hot])  # of the hot contexts among all hot ones
+
+    def sampled(self, often: bool, sweeps: int, totals: list[np.ndarray]) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+        """Which pairs are in hot restaurants, or in the others, and their tables before and after each sweep."""
+        at = np.flatnonzero(self.hot[self.room] == often)
+        return at, self._sweeps(at, often, sweeps, totals)
+
+    def _sweeps(self, at: np.ndarray, often: bool, sweeps: int, totals: list[np.ndarray]) -> Iterator[np.ndarray]:
+        counts, weight, room = self.counts[at], self.weight[at], self.room[at]
+        rng = np.random.default_rng(1_000_003 * self.shard + (18 if often else 17))
+        tables = np.minimum(counts, 1)
+        yield tables
+        for sweep in range(sweeps):
+            total = np.bincount(room, weights=tables, minlength=len(self.contexts))
+            if often and len(at):
+                total[self.hot] = totals[sweep][self.place]
+            tables = seated(counts, (STRENGTH + DISCOUNT * np.maximum(0, total[room] - tables)) * weight, DISCOUNT, rng)
+            yield tables
+
+
+def _hot_tables(shared, n_all: float, v: float, totals: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tables of a shard's parts of hot restaurants after as many sweeps as there are totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, parts in zip(batch.column("target").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                own = _Restaurants(shard, parts, _short_hot(shared), n_all, v)
+                at, seatings = own.sampled(True, len(totals), totals)
+                *_, tables = seatings
+                sums = np.bincount(own.room[at], weights=tables, minlength=len(own.contexts))[own.hot]
+                yield pa.RecordBatch.from_arrays([pa.array(own.place, pa.int64()), pa.array(sums, pa.float64())], names=["place", "n"])
+
+    return run
+
+
+def _short_hot(shared) -> np.ndarray:
+    return np.unique(np.asarray(shared.value, dtype=np.uint64) >> _SHORT)
+
+
+def _children(shards: int, shared, n_all: float, v: float, totals: list[np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+    """Samples the restaurants of a shard, answers the chunks and reports sums of tables to the shards of words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
+        shard, origins, mail = table.column("target")[0].as_py(), table.column("origin").to_pylist(), table.column("parts").to_pylist()
+        own = _Restaurants(shard, mail[0], _short_hot(shared), n_all, v)
+        mean = np.zeros(len(own.counts))
+        for often in (False, True):
+            at, seatings = own.sampled(often, 1 + SWEEPS, totals)
+            for k, tables in enumerate(seatings):
+                if k > 1:
+                    mean[at] += tables / SWEEPS
+        numerator = (own.counts - DISCOUNT * mean).astype(np.float32)
+        out = [(0, origin, shard, _pack(numerator[_places(parts[0])])) for origin, parts in zip(origins[1:], mail[1:], strict=True)]
+        in_context = own.contexts, np.bincount(own.room, weights=mean), np.bincount(own.room, weights=own.counts)
+        as_dish = own.dishes, np.bincount(own.which, weights=mean)
         for k, (words, *sums) in ((1, in_context), (3, as_dish)):
             bounds = _word_bounds(words, shards)
             out += [(k, s, shard, _pack(words[bounds[s] : bounds[s + 1]], *(x[bounds[s] : bounds[s + 1]].astype(np.float32) for x in sums))) for s in range(shards) if bounds[s] < bounds[s + 1]]
@@ -252,53 +356,59 @@ def _children(shards: int, shared) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _parent(shards: int) -> Callable[[pa.Table], pa.Table]:
-    """Merges word counts and sums of tables, samples the parent's seating of a shard's words, answers the chunks; kind 4: sums for all."""
+def _gathered(table: pa.Table) -> pa.Table:
+    """Kind 10 of a shard of words: counts, tables and customers of each word's restaurant, and its customers in the parent."""
+    table = table.sort_by([("kind", "descending"), ("origin", "ascending")])
+    short, c = _unpack(table.column("parts")[0].as_py(), np.uint64, np.int64)
+    sums = np.zeros((3, len(short)))
+    for kind, parts in zip(table.column("kind").to_pylist()[1:], table.column("parts").to_pylist()[1:], strict=True):
+        words, *more = _unpack(parts, *([np.uint64] + [np.float32] * (2 if kind == 1 else 1)))
+        at = np.searchsorted(short, words)
+        for row, x in zip((0, 1) if kind == 1 else (2,), more, strict=True):
+            np.add.at(sums[row], at, x.astype(np.float64))
+    return _posted([(10, table.column("target")[0].as_py(), -1, _pack(c, *sums))])
+
+
+def _parent_sweeps(shard: int, customers: np.ndarray, v: float, sweeps: int, totals: list[float]) -> Iterator[np.ndarray]:
+    """Tables of a shard's words in the parent before and after each sweep; totals: those of all shards before each."""
+    rng = np.random.default_rng(7_654_321 * shard + 5)
+    whole = np.maximum(np.round(customers), customers > 0)
+    tables = np.minimum(whole, 1)
+    yield tables
+    for sweep in range(sweeps):
+        new = (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(0, totals[sweep] - tables)) / (v + 1)
+        tables = seated(whole, new, PARENT_DISCOUNT, rng)
+        yield tables
+
+
+def _parent_tables(v: float, totals: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, parts in zip(batch.column("target").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                customers = _unpack(parts, np.int64, *[np.float64] * 3)[3]
+                *_, tables = _parent_sweeps(shard, customers, v, len(totals), totals)
+                yield pa.RecordBatch.from_arrays([pa.array([float(tables.sum())], pa.float64())], names=["n"])
+
+    return run
+
+
+def _parent(v: float, totals: list[float]) -> Callable[[pa.Table], pa.Table]:
+    """Samples the parent's seating of a shard's words and answers the chunks; kind 4: sums for all."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
-        kinds, origins, shard = table.column("kind").to_pylist(), table.column("origin").to_pylist(), table.column("target")[0].as_py()
-        asked, words, counts, sums = [], [], [], {1: [], 3: []}
-        for kind, origin, parts in zip(kinds, origins, table.column("parts").to_pylist(), strict=True):
-            if kind == 2:
-                own, c = _unpack(parts, np.uint64, np.uint32)
-                asked.append((origin, len(own)))
-                words.append(own)
-                counts.append(c)
-            else:
-                sums[kind].append(_unpack(parts, *([np.uint64] + [np.float32] * (2 if kind == 1 else 1))))
-        if not words:
-            return _posted([])
-        vocabulary, which = np.unique(np.concatenate(words), return_inverse=True)
-        c = np.bincount(which, weights=np.concatenate(counts))
-        short = vocabulary >> _SHORT
-
-        def gathered(kind: int, column: int) -> np.ndarray:
-            total = np.zeros(len(short))
-            for own in sums[kind]:
-                at = np.searchsorted(short, own[0])
-                at = np.minimum(at, len(short) - 1)
-                hit = short[at] == own[0]
-                np.add.at(total, at[hit], own[column][hit].astype(np.float64))
-            return total
-
-        t_u, c_u, customers = gathered(1, 1), gathered(1, 2), gathered(3, 1)
-        known = int((c > 0).sum())
-        rng = np.random.default_rng(7_654_321 * shard + 5)
-        whole, mean = np.round(customers), np.zeros(len(customers))
-        whole = np.maximum(whole, customers > 0)
-        tables = np.minimum(whole, 1)
-        for sweep in range(1 + SWEEPS):
-            new = (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(0, tables.sum() * shards - tables)) / (known * shards + 1)
-            tables = seated(whole, new, PARENT_DISCOUNT, rng)
-            mean += tables / SWEEPS if sweep else 0
+        shard, origins, mail = table.column("target")[0].as_py(), table.column("origin").to_pylist(), table.column("parts").to_pylist()
+        c, t_u, c_u, customers = _unpack(mail[0], np.int64, *[np.float64] * 3)
+        mean = np.zeros(len(customers))
+        for k, tables in enumerate(_parent_sweeps(shard, customers, v, 1 + SWEEPS, totals)):
+            if k > 1:
+                mean += tables / SWEEPS
         numerator = np.maximum(0, customers - PARENT_DISCOUNT * mean)
-        out, at = [], 0
-        for origin, size in asked:
-            own = which[at : at + size]
-            out.append((5, origin, shard, _pack(c[own].astype(np.int64), t_u[own].astype(np.float32), c_u[own].astype(np.float32), numerator[own].astype(np.float32))))
-            at += size
-        return _posted([*out, (4, -1, shard, [np.array([c.sum(), known, customers.sum(), mean.sum()]).tobytes()])])
+        out = []
+        for origin, parts in zip(origins[1:], mail[1:], strict=True):
+            own = _places(parts[0])
+            out.append((5, origin, shard, _pack(c[own], t_u[own].astype(np.float32), c_u[own].astype(np.float32), numerator[own].astype(np.float32))))
+        return _posted([*out, (4, -1, shard, [np.array([customers.sum(), mean.sum()]).tobytes()])])
 
     return run
 
@@ -336,6 +446,12 @@ def _scored(shards: int, shared, totals: tuple[float, float, float, float]) -> C
     return run
 
 
+def _clean(spark) -> None:
+    """Lets Spark delete shuffle files that no plan needs any more: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # ---- the operator ---------------------------------------------------------------------------------------------------
 
 
@@ -353,16 +469,42 @@ def scored(documents: DataFrame, held_out: Column, scope: str = "query") -> Data
     shared = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
 
     mail = schema(_MAIL)
+    summed = lambda df: [float(x) for x in np.sum([[0.0, 0.0], *(np.frombuffer(r["parts"][0]) for r in df.where("kind = 4").collect())], axis=0)]  # noqa: E731 - a row for each shard
     asked = chunks.select("chunk", "held", "lengths", "parts").mapInArrow(_pair_requests(shards, shared), mail)
-    children = stored(asked.groupBy("target").applyInArrow(_children(shards, shared), mail), "children", scope)
-    words = chunks.select("chunk", "parts").mapInArrow(_word_requests(shards), mail).unionByName(children.where("kind in (1, 3)"))
-    parent = stored(words.groupBy("target").applyInArrow(_parent(shards), mail), "parent", scope)
-    sums = [np.frombuffer(r["parts"][0]) for r in parent.where("kind = 4").collect()]  # a row for each shard
-    totals = tuple(float(x) for x in np.sum(sums, axis=0)) if sums else (0.0, 0.0, 0.0, 0.0)
+    early, later = f"{scope} {uuid.uuid4().hex}", f"{scope} {uuid.uuid4().hex}"  # tables that go before the end
+    merged = stored(asked.groupBy("target").applyInArrow(_merged(shards), mail), "merged", early)
+    del asked
+    _clean(spark)
+    requests = chunks.select("chunk", "parts").mapInArrow(_word_requests(shards), mail).unionByName(merged.where("kind = 8"))
+    words = stored(requests.groupBy("target").applyInArrow(_counted, mail), "words", later)
+    del requests
+    n_all, v = summed(words)
+    pairs = stored(merged.where("kind = 6").unionByName(words.where("kind = 9")).groupBy("target").applyInArrow(_weighed, mail), "pairs", early)
+    _clean(spark)
+    hot_totals: list[np.ndarray] = []
+    for _ in range(1 + SWEEPS if hot else 0):
+        sums = pairs.select("target", "parts").mapInArrow(_hot_tables(shared, n_all, v, hot_totals), schema("place long, n double")).groupBy("place").agg(F.sum("n").alias("n"))
+        total = np.zeros(len(hot))
+        for r in sums.collect():  # 8 * shards rows at most
+            total[r["place"]] = r["n"]
+        hot_totals = [*hot_totals, total]
+    children = stored(pairs.unionByName(merged.where("kind = 7")).groupBy("target").applyInArrow(_children(shards, shared, n_all, v, hot_totals), mail), "children", scope)
+    del pairs, merged
+    release(spark, early)
+    _clean(spark)
+    seats = stored(words.where("kind = 10").unionByName(children.where("kind in (1, 3)")).groupBy("target").applyInArrow(_gathered, mail), "seats", later)
+    totals: list[float] = []
+    for _ in range(1 + SWEEPS):
+        totals = [*totals, seats.select("target", "parts").mapInArrow(_parent_tables(v, totals), schema("n double")).agg(F.sum("n").alias("n")).first()["n"] or 0.0]
+    parent = stored(seats.unionByName(words.where("kind = 11")).groupBy("target").applyInArrow(_parent(v, totals), mail), "parent", scope)
+    customers, tables = summed(parent)
+    del seats, words
+    release(spark, later)
+    _clean(spark)
 
     answers = children.where("kind = 0").unionByName(parent.where("kind = 5"))
     kind = schema("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("target")).applyInArrow(_scored(shards, shared, totals), kind)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("target")).applyInArrow(_scored(shards, shared, (n_all, v, customers, tables)), kind)
 
 
 def evaluated(documents: DataFrame) -> DataFrame:
