@@ -14,7 +14,8 @@ answer (its last sentence, if it has several), that the passage holds. It is a l
 question and answer both, reach 0.8.
 
 Items are indexed in blocks of rows of a bounded size, each broadcast in turn against all documents; counts of words are
-over all items. Items with fewer than MIN_ITEM_WORDS words name nothing and are left out. Nulls: null or empty texts hold
+over all items. An item of fewer than five words is one shingle, its whole word sequence, and only that makes it a leak; items
+without a word are left out. Nulls: null or empty texts hold
 no leak and leak nothing; documents with a null doc_id are searched like others. Repeated items and rows each give their
 rows. Empty tables give empty results.
 """
@@ -34,7 +35,7 @@ from factgrid.llm.common import only, schema, stored
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
-MIN_ITEM_WORDS = 5
+MIN_ITEM_WORDS = 1
 THRESHOLD = 0.5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
@@ -66,7 +67,7 @@ class Index:
         texts = [words_of(t) for _, t in items]
         self.longest = max(map(len, texts))
         self.item = [shingles(w) for w in texts]
-        self.parts = [tuple(map(shingles, question_and_answer(t))) for _, t in items]
+        self.parts = [tuple(map(shingles, question_and_answer(t))) if len(w) >= SHINGLE else (shingles(w), set()) for w, (_, t) in zip(texts, items, strict=True)]
         self.vocabulary: dict[str, int] = {}
         rows: list[tuple[int, int, float]] = []
         for item, words in enumerate(texts):
