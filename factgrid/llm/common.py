@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where scratch tables go if the cluster names no shared folder, as in tests.
-DEFAULT_WORK_DIR = "/tmp/checkpoints/factgrid"
+from factgrid.storage import work_dir
+
 #: White space of the words and line keys: space and the controls 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,12 +24,6 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _scratch: dict[str, list[str]] = {}
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or DEFAULT_WORK_DIR).rstrip('/')}/factgrid"
-
-
 def stored(df: DataFrame, name: str, scope: str = "query") -> DataFrame:
     """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -67,3 +66,20 @@ def only(df: DataFrame, **kinds: str) -> DataFrame:
 
 def schema(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)
+
+
+def lanes() -> Iterator[int]:
+    """Well-spread numbers that differ from task to task: the leaves of `merged_in_a_tree`."""
+    part, k = TaskContext.get().partitionId(), 0
+    while True:
+        yield xxhash.xxh32_intdigest(f"{part} {k}")
+        k += 1
+
+
+def merged_in_a_tree(parts: DataFrame, merge: Callable[[pa.Table], pa.Table], kind: T.StructType, n_parts: int, fan_in: int = 16) -> DataFrame:
+    """One row for each segment. parts: segment, lane (of `lanes`) and values; merge takes about fan_in rows of a segment into one, however many there are."""
+    n = max(1, n_parts)
+    while n > 1:
+        n = math.ceil(n / fan_in)
+        parts = parts.withColumn("lane", F.pmod("lane", F.lit(n))).groupBy("segment", "lane").applyInArrow(merge, kind)
+    return parts if n_parts > 1 else parts.groupBy("segment").applyInArrow(merge, kind)

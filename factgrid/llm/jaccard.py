@@ -13,13 +13,18 @@ shingle in their prefixes, the first |A| - ceil(t |A|) + 1 shingles of each, and
   which is counted over all lists. (Members of a long list meet its pivot alone at first, so long lists don't weigh more.)
 
 Within a list no pairs are expanded: first each member meets one pivot (the member nearest to the list's common text),
-links that hold are contracted to components, and then only members of different components meet, if sizes and places in
-the prefixes still allow the overlap. So a group of thousands of near copies costs a star, and no link is lost: members
-of one list either are in one component already, or cannot reach the overlap, or have been compared.
+links that hold are contracted to components, and then members outside the list's largest component meet those of other
+components, if sizes and places in the prefixes still allow the overlap. So a group of thousands of near copies costs a
+star, and no link is lost: members of one list either are in one component already, or cannot reach the overlap, or have
+been compared. What is not spared are the pairs of unlike sets of one list that could still overlap.
+
+Lists move once, as numbers (key, class, size, place). Those that the sketch takes for frequent are sliced by a hash of
+the class; each slice has a pivot, and the pivots of a list meet the first of them.
 
 Nulls and empties: a null, empty or wordless text has an empty set, n_shingles 0, and links with nothing. Fewer than k
 words make one shingle of the whole sequence. Rows that repeat a doc_id are judged row by row; a component's id is the
-smallest doc_id of its rows. Rows with a null doc_id take part, and never name a component unless all its rows are null.
+smallest doc_id of its rows. Rows with a null doc_id take part, link others, and never name a component unless all its rows
+are null (its id is null then). Empty tables give empty results; other columns, whatever their names, stay outside.
 """
 
 from __future__ import annotations
@@ -32,18 +37,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import only, schema, small, stored
+from factgrid.llm.common import lanes, merged_in_a_tree, only, schema, small, stored
 
 SEGMENTS = 64
 #: Cells of the count-min sketch: one for so many shingles, within these bounds. It is broadcast as one byte a cell.
 SHINGLES_PER_CELL, LEAST_CELLS, MOST_CELLS = 8, 1 << 16, 1 << 23
 FLUSH_SHINGLES = 4_000_000
-#: Up to so many documents are named to the executors by broadcast for verification; beyond that by a join.
-MAX_BROADCAST_IDS = 1_000_000
+#: Up to so many rows are named to the executors by broadcast (16 bytes each); beyond that by a join.
+MAX_BROADCAST_IDS = 250_000
 MAX_ROUNDS = 40
+#: Members of a slice of a frequent list, about; a list counts as frequent beyond that and so many times a cell's mean load.
+SLICE, MEAN_LOADS = 2048, 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -69,13 +76,11 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 def _sketches(k: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        lane = 0
+        lane = lanes()
 
         def ship(parts: list[np.ndarray]) -> pa.RecordBatch:
-            nonlocal lane
-            lane += 1
             counts = np.bincount(np.concatenate(parts), minlength=cells).astype(np.uint32).reshape(SEGMENTS, -1)
-            return pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([hash((lane, int(parts[0][0]))) % 64] * SEGMENTS, pa.int32()), pa.array([pack(x.tobytes()) for x in counts], pa.binary())], names=["segment", "lane", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([next(lane)] * SEGMENTS, pa.int64()), pa.array([pack(x.tobytes()) for x in counts], pa.binary())], names=["segment", "lane", "counts"])
 
         held, n = [], 0
         for batch in batches:
@@ -94,19 +99,21 @@ def _sketches(k: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def _summed(table: pa.Table) -> pa.Table:
     unpack = zstandard.ZstdDecompressor().decompress
-    total = sum(np.frombuffer(unpack(x.as_py()), dtype=np.uint32).astype(np.uint64) for x in table.column("counts"))
+    total = None
+    for x in table.column("counts"):
+        own = np.frombuffer(unpack(x.as_py()), dtype=np.uint32).astype(np.uint64)
+        total = own if total is None else total + own
     counts = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "lane": table.column("lane")[:1].cast(pa.int32()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(counts.tobytes())], pa.binary())})
+    return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "lane": table.column("lane")[:1].cast(pa.int64()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(counts.tobytes())], pa.binary())})
 
 
-def document_counts(texts: DataFrame, k: int, n_shingles: int) -> np.ndarray:
+def document_counts(texts: DataFrame, k: int, n_shingles: int, n_tasks: int) -> np.ndarray:
     """Ranks (eight to an octave) of the estimated document counts of shingles, a byte for each cell."""
     cells = min(max(LEAST_CELLS, 1 << math.ceil(math.log2(max(1, n_shingles / SHINGLES_PER_CELL)))), MOST_CELLS)
-    kind = schema("segment int, lane int, counts binary")
-    parts = texts.mapInArrow(_sketches(k, cells), kind)
-    whole = parts.groupBy("segment", "lane").applyInArrow(_summed, kind).groupBy("segment").applyInArrow(_summed, kind).select("segment", "counts")
+    kind = schema("segment int, lane long, counts binary")
+    whole = merged_in_a_tree(texts.mapInArrow(_sketches(k, cells), kind), _summed, kind, n_tasks + n_shingles // FLUSH_SHINGLES)
     ranks = np.zeros((SEGMENTS, cells // SEGMENTS), dtype=np.uint8)
-    for row in whole.collect():  # SEGMENTS rows, four bytes a cell at most
+    for row in whole.select("segment", "counts").collect():  # SEGMENTS rows, four bytes a cell at most
         counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), dtype=np.uint32)
         ranks[row["segment"]] = np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8)
     return ranks.ravel()
@@ -123,7 +130,7 @@ def _profiles(k: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
         cells = np.uint64(len(ranks) - 1)
         for batch in batches:
             sizes, nodes, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 own = shingle_set(text, k)
                 order = (ranks[own & cells].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
                 p = prefix_length(len(own), percent, 2)
@@ -131,39 +138,44 @@ def _profiles(k: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
                 sizes.append(len(own))
                 nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "prefix"])
 
     return run
 
 
 def _signatures(percent: int, boundary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings of classes: (key, node, n, place, light); place 0 for 2-subsets, whose lists have light sets only."""
+    """Postings of classes: (key, num, n, place); place 0 for 2-subsets, whose lists have light sets only. A key's first byte is the rank of its shingle, or of the rarer one of two."""
+    top = np.uint64(0xFF << 56)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least_light = percent * (boundary + 1) // 100
         for batch in batches:
             keys, owner, places = [], [], []
             sizes = batch.column("n").to_pylist()
-            for row, (n, prefix) in enumerate(zip(sizes, batch.column("prefix").to_pylist(), strict=True)):
+            for row, (n, prefix) in enumerate(zip(sizes, batch.column("prefix"), strict=True)):
+                own = prefix.values.to_numpy(zero_copy_only=False)
                 if n > boundary or n >= least_light:  # a large set, or a small one that a large one can link with
-                    own = prefix[: prefix_length(n, percent)]
-                    keys += own
-                    owner += [row] * len(own)
-                    places += range(1, len(own) + 1)
+                    p = prefix_length(n, percent)
+                    keys.append(own[:p])
+                    owner.append(np.full(p, row))
+                    places.append(np.arange(1, p + 1, dtype=np.int32))
                 if n <= boundary:
-                    two = np.array([*combinations(prefix, 2)], dtype=np.int64).reshape(-1, 2).view(np.uint64)
-                    own = _mixed(two[:, 0] * _M1 + _mixed(two[:, 1] + _M3) * _M2).view(np.int64).tolist()
-                    keys += own
-                    owner += [row] * len(own)
-                    places += [0] * len(own)
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("node").take(at), batch.column("n").take(at), pa.array(places, pa.int32())], names=["key", "node", "n", "place"])
+                    two = np.array([*combinations(own, 2)], dtype=np.int64).reshape(-1, 2).view(np.uint64)
+                    mixed = _mixed(two[:, 0] * _M1 + _mixed(two[:, 1] + _M3) * _M2)
+                    keys.append(((two.min(axis=1) & top) | (mixed >> np.uint64(8))).view(np.int64))
+                    owner.append(np.full(len(two), row))
+                    places.append(np.zeros(len(two), dtype=np.int32))
+            at = pa.array(np.concatenate(owner) if owner else [], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), batch.column("num").take(at), batch.column("n").take(at), pa.array(np.concatenate(places) if places else [], pa.int32())],
+                names=["key", "num", "n", "place"],
+            )
 
     return run
 
 
 def _sets(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sets of the wanted nodes; shared: the sorted doc_ids that represent them, or None if the rows are those."""
+    """Sets of the wanted rows; shared: the sorted keys of the rows that represent a class, or None if the rows are those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
@@ -221,91 +233,126 @@ def _possible(percent: int) -> Column:
     return sizes & (reach >= _overlap_needed(F.col("n"), F.col("n2"), percent))
 
 
-def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", boundary: int | None = None) -> DataFrame:
-    """doc_id, n, node, label for each row: node is the class of equal sets, label that of the component. boundary: the largest light set, by cost if None."""
+def row_key() -> Column:
+    """Names a row by its doc_id and text. Rows with another key differ; where different rows share one, sets are told apart by their digests."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", boundary: int | None = None, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """doc_id, row_key, n, node, label for each row: node is the class of equal sets, label that of the component. boundary: the largest light set, by cost if None."""
     spark = documents.sparkSession
     docs = only(documents, doc_id="long", text="string")
-    n_words = docs.agg(F.sum(F.length(F.coalesce("text", F.lit(""))) / 6).alias("n")).first()["n"] or 1
-    shared = spark.sparkContext.broadcast(document_counts(docs.select("text"), k, int(n_words)))
-    profiles = stored(docs.mapInArrow(_profiles(k, percent, shared), schema("doc_id long, n long, node binary, prefix array<long>")), "profiles", scope)
-    rows = profiles.select("doc_id", "n", "node")
+    size = docs.select(F.length("text").alias("n"), F.spark_partition_id().alias("task")).agg(F.sum(F.col("n") / 6).alias("n"), F.max("task").alias("tasks")).first()
+    shared = spark.sparkContext.broadcast(document_counts(docs.select("text"), k, int(size["n"] or 1), 1 + (size["tasks"] or 0)))
+    profiles = docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(_profiles(k, percent, shared), schema("doc_id long, row_key long, n long, node binary, prefix array<long>"))
+    profiles = stored(profiles, "profiles", scope)
+    rows = profiles.select("doc_id", "row_key", "n", "node")
 
     least = -(-100 // (100 - percent)) - 1 if percent < 100 else 1 << 60  # smaller sets link with equal sets alone
-    named = profiles.where((F.col("n") >= least) & F.col("doc_id").isNotNull())
-    chosen = rows.where((F.col("n") >= least) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    classed = stored(named.join(chosen, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "classes", scope)
+    one_each = profiles.where(F.col("n") >= least).select("node", "n", "row_key", "prefix").dropDuplicates(["node"])
+    classed = stored(one_each.withColumn("num", F.monotonically_increasing_id()), "classes", scope)
 
     if boundary is None:  # C(p + 1, 2) subsets against the members of p lists
         lists = classed.select(F.explode("prefix").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("lists")).first()
         mean, boundary = lists["n"] / max(1, lists["lists"]), least - 1
         while prefix_length(boundary + 1, percent, 2) <= 2 * mean:
             boundary += 1
-    postings = classed.select("node", "n", "prefix").mapInArrow(_signatures(percent, boundary), schema("key long, node binary, n long, place int"))
-
-    # lists of one member are most of them: they go by a count alone, before anything wider is moved or kept
-    shared_keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    listed = stored(postings.join(shared_keys, "key", "left_semi"), "listed", scope)
-    heavy = F.max("n") > boundary
-    nearest = F.min(F.struct((F.col("n") <= boundary).alias("light"), "place", (-F.col("n")).alias("less"), "n", "node"))
-    heads = listed.groupBy("key").agg(nearest.alias("pivot"), heavy.alias("heavy"), F.max("place").alias("far")).where(F.col("heavy") | (F.col("far") == 0))
-    kept = stored(listed.join(heads.select("key", "pivot"), "key"), "postings", scope)
-
-    stars = kept.where(F.col("node") != F.col("pivot.node")).select("node", "n", "place", F.col("pivot.node").alias("node2"), F.col("pivot.n").alias("n2"), F.col("pivot.place").alias("place2"))
-    pairs = stars.where(_possible(percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+    # postings move once, by key and, for keys that may be frequent, a slice: the nearest member comes first and is the pivot
+    postings = classed.select("num", "n", "prefix").mapInArrow(_signatures(percent, boundary), schema("key long, num long, n long, place int"))
+    octave = (F.shiftrightunsigned("key", 56) / 8).cast("int") - F.lit(math.ceil(math.log2(SLICE + MEAN_LOADS * size_of_cell(int(size["n"] or 1)))))
+    sliced = postings.withColumn("slice", F.when(octave > 0, F.pmod(F.xxhash64("num"), F.pow(F.lit(2.0), F.least(octave, F.lit(12))).cast("long")) + 1).otherwise(F.lit(0)).cast("int"))
+    member = F.struct("num", "n", "place")
+    order = [F.col("n") <= boundary, F.col("place"), F.col("n").desc(), F.col("num")]
+    here = Window.partitionBy("key", "slice").orderBy(*order)
+    met = sliced.withColumn("pivot", F.first(member).over(here)).withColumn("next", F.lead("num").over(here))
+    met = met.where(F.col("next").isNotNull() | (F.col("num") != F.col("pivot.num")) | (F.col("slice") > 0)).where((F.col("slice") > 0) | (F.col("pivot.n") > boundary) | (F.col("pivot.place") == 0))
+    kept = stored(met.drop("next"), "postings", scope)
+
+    # the pivots of a list's slices meet the first of them
+    among = kept.where((F.col("slice") > 0) & (F.col("num") == F.col("pivot.num"))).withColumn("pivot", F.first(member).over(Window.partitionBy("key").orderBy(*order)))
+    stars = kept.select("num", "n", "place", "pivot").unionByName(among.select("num", "n", "place", "pivot")).where(F.col("num") != F.col("pivot.num"))
+    stars = stars.select("num", "n", "place", F.col("pivot.num").alias("num2"), F.col("pivot.n").alias("n2"), F.col("pivot.place").alias("place2"))
+    pairs = stars.where(_possible(percent)).select(F.least("num", "num2").alias("a"), F.greatest("num", "num2").alias("b")).distinct()
     pairs = stored(pairs, "pairs", scope)
-    links = _verified(docs, classed, pairs, k, percent, scope)
+    links = _verified(docs, classed, pairs, k, percent, scope, max_broadcast)
     label = components(links, scope)
 
-    known = kept.join(label, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_lists = stored(known.join(mixed, "key", "left_semi"), "open", scope)
-    other = open_lists.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "label")))
-    rest = open_lists.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & ((F.col("place") == 0) | (F.greatest("n", "n2") > boundary)) & _possible(percent))
-    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    # who is outside its list's largest component meets the members of the others: each pair of components has one outside
+    known = stored(kept.join(label, F.col("num") == F.col("node"), "left").select("key", "num", "n", "place", F.coalesce("label", "num").alias("label")), "known", scope)
+    heads = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most")).groupBy("key")
+    heads = heads.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.max("most").alias("most"))
+    heads = stored(heads.where("labels > 1").select("key", "main", "most"), "heads", scope)
+    open_lists = stored(known.join(heads, "key").where((F.col("place") == 0) | (F.col("most") > boundary)).drop("most"), "open", scope)
+    outside = open_lists.where(F.col("label") != F.col("main")).select("key", *(F.col(c).alias(f"{c}2") for c in ("num", "n", "place", "label")))
+    once = (F.col("label") == F.col("main")) | (F.col("num") < F.col("num2"))
+    able = (F.col("label") != F.col("label2")) & once & ((F.col("place") == 0) | (F.greatest("n", "n2") > boundary)) & _possible(percent)
+    rest = open_lists.join(outside, "key").where(able)
+    rest = rest.select(F.least("num", "num2").alias("a"), F.greatest("num", "num2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = stored(rest, "pairs", scope)
     if rest.limit(1).count():
-        links = links.unionByName(_verified(docs, classed, rest, k, percent, scope))
+        links = links.unionByName(_verified(docs, classed, rest, k, percent, scope, max_broadcast))
         label = components(links, scope)
-    return rows.join(label, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
+    names = classed.select("num", "node")
+    named = label.join(names.toDF("label", "label_node"), "label").select(F.col("node").alias("num"), "label_node").join(names, "num").select("node", "label_node")
+    return rows.join(stored(named, "named", scope), "node", "left").select("doc_id", "row_key", "n", "node", F.coalesce("label_node", "node").alias("label"))
+
+
+def size_of_cell(n_shingles: int) -> int:
+    """Shingles that a cell of the sketch counts in the mean, beside the one that is asked for."""
+    return n_shingles // MOST_CELLS
 
 
-def _verified(docs: DataFrame, classed: DataFrame, pairs: DataFrame, k: int, percent: int, scope: str) -> DataFrame:
-    """The pairs that link, by their whole sets, made again from the texts of the documents that represent them."""
+def _verified(docs: DataFrame, classed: DataFrame, pairs: DataFrame, k: int, percent: int, scope: str, max_broadcast: int) -> DataFrame:
+    """The pairs that link, by their whole sets, made again from the texts of the rows that represent them."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = stored(classed.join(nodes, "node", "left_semi").select("doc_id").distinct(), "wanted", scope)
-    if (few := small(ids, MAX_BROADCAST_IDS)) is not None:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in few] or [-(1 << 62)], dtype=np.int64)))
-        sets = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_sets(k, wanted), schema("node binary, shingles binary"))
+    nums = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+    wanted = stored(classed.join(nums, "num", "left_semi").select("row_key", "node", "num"), "wanted", scope)
+    keyed = docs.select(row_key().alias("row_key"), "text")
+    if (few := small(wanted.select("row_key"), max_broadcast)) is not None:
+        shared = spark.sparkContext.broadcast(np.sort(np.array([r["row_key"] for r in few] or [-(1 << 62)], dtype=np.int64)))
+        sets = keyed.mapInArrow(_sets(k, shared), schema("node binary, shingles binary"))
     else:
-        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k, None), schema("node binary, shingles binary"))
-    sets = stored(sets.dropDuplicates(["node"]), "sets", scope)
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return stored(two.mapInArrow(_linked(percent), schema("a binary, b binary")), "links", scope)
+        sets = keyed.join(wanted.select("row_key"), "row_key", "left_semi").mapInArrow(_sets(k, None), schema("node binary, shingles binary"))
+    sets = stored(sets, "sets", scope)
+    if sets.select("node").groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat
+        sets = sets.dropDuplicates(["node"])
+    sets = stored(sets.join(wanted.select("node", "num"), "node").select("num", "shingles"), "numbered-sets", scope)
+    one = pairs.join(sets.select(F.col("num").alias("a"), F.col("shingles").alias("sa")), "a")
+    two = one.join(sets.select(F.col("num").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return stored(two.mapInArrow(_linked(percent), schema("a long, b long")), "links", scope)
 
 
-def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "query", boundary: int | None = None) -> DataFrame:
+def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "query", boundary: int | None = None, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
-    rows = stored(classes(documents, k, percent, scope, boundary), "labelled", scope)
-    names = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    rows = stored(classes(documents, k, percent, scope, boundary, max_broadcast), "labelled", scope)
+    names = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
+    names = stored(names.where("c > 1").drop("c"), "names", scope)
     out = rows.join(names, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def filtered(documents: DataFrame, k: int = 5, percent: int = 80, scope: str = "query") -> DataFrame:
-    """The documents without those that another of their group stands for: the one with the smallest doc_id stays.
+def filtered(documents: DataFrame, k: int = 5, percent: int = 80, scope: str = "query", max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """The documents without the rows that another row of their group stands for: that with the smallest doc_id, and of the rows that repeat it the one with the smallest row_key, stays.
 
-    Rows with a null doc_id stay, as nothing else can name them. Of rows that repeat a doc_id with an equal set one stays.
+    A row with a null doc_id stands for its group only if all rows of it have none. Of rows with equal doc_id and text one
+    stays. Other rows of a doc_id that is repeated are judged for themselves. Rows without words stay.
     """
-    groups = joined(documents, k, percent, scope)
-    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_fg_gone")).distinct(), "gone", scope)
-    if gone.count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = documents.join(gone, F.col("doc_id").cast("long") == F.col("_fg_gone"), "left_anti")
-    again = groups.where("doc_id = component_id and n_shingles > 0").groupBy(F.col("doc_id").alias("_fg_again")).count().where("count > 1").select("_fg_again")
-    again = stored(again, "again", scope)
-    if not again.limit(1).count():
-        return left
-    one = left.join(again, F.col("doc_id").cast("long") == F.col("_fg_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, F.col("doc_id").cast("long") == F.col("_fg_again"), "left_anti").unionByName(one)
+    rows = stored(classes(documents, k, percent, scope, max_broadcast=max_broadcast).where("n > 0").select("doc_id", "row_key", "label"), "labelled", scope)
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("best"), F.count(F.lit(1)).alias("c"))
+    best = stored(best.where("c > 1").select("label", F.col("best.doc_id").alias("best_id"), F.col("best.row_key").alias("best_key")), "best", scope)
+    met = rows.join(best, "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("row_key") == F.col("best_key"))
+    gone = stored(met.where(~stays).select(F.col("doc_id").alias("_fg_id"), F.col("row_key").alias("_fg_key")).distinct(), "gone", scope)
+    again = stored(met.where(stays).groupBy(F.col("doc_id").alias("_fg_id"), F.col("row_key").alias("_fg_key")).count().where("count > 1").drop("count"), "again", scope)
+
+    names, typed = documents.columns, [f"c{i}" for i in range(len(documents.columns))]
+    plain = documents.toDF(*typed)
+    own_id, own_text = (F.col(typed[names.index(c)]) for c in ("doc_id", "text"))
+    same = lambda other: own_id.cast("long").eqNullSafe(other["_fg_id"]) & (F.xxhash64(own_id.cast("long"), own_text.cast("string")) == other["_fg_key"])
+    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
+    left = plain.join(gone, same(gone), "left_anti")
+    if again.limit(1).count():
+        one = left.join(again, same(again), "left_semi").dropDuplicates([typed[names.index("doc_id")], typed[names.index("text")]])
+        left = left.join(again, same(again), "left_anti").unionByName(one)
+    return left.toDF(*names)

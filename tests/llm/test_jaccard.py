@@ -61,3 +61,36 @@ def test_stage_keeps_one_of_each_group(documents, rows, with_nulls, empty):
     assert sorted(left) == sorted(want)
     assert None in {r["doc_id"] for r in jaccard.filtered(with_nulls).collect()}
     assert jaccard.joined(empty).count() == 0 and jaccard.filtered(empty).schema == empty.schema
+
+
+def edited(words, k):
+    return " ".join([*words[:k], f"edit{k}", *words[k + 1 :]])
+
+
+def test_links_run_through_rows_without_doc_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    between = " ".join(words)
+    rows = [(1, edited(words, 10)), (None, between), (3, edited(words, 90)), (None, "alone without a name in this table"), (None, edited(words, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.joined(df, 3, 90).collect()), key=str)
+    assert got == by_hand(rows, 3, 90) and {c for d, _, c in got if d in (1, 3)} == {1}
+    kept = [tuple(r) for r in jaccard.filtered(df, 3, 90).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[3]], key=str)
+
+
+def test_a_repeated_doc_id_loses_only_copies(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (7, "", "x"), (7, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    for most in (100, 0):
+        left = jaccard.filtered(df, max_broadcast=most)
+        assert left.columns == df.columns
+        assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_without_broadcast_and_with_sliced_lists(documents, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE", 2)
+    monkeypatch.setattr(jaccard, "size_of_cell", lambda n: 0)
+    for boundary in (None, 60):
+        got = sorted((tuple(r) for r in jaccard.joined(documents, 3, 90, boundary=boundary, max_broadcast=0).collect()), key=str)
+        assert got == by_hand(rows, 3, 90)
