@@ -1,19 +1,21 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Features of a text are rates (symbols, repeated lines, repeated words, capitals, exclamation marks, word length).
-A rule rejects a text whose feature is above the rule's cutoff. Cutoffs are not set by hand: a labelled holdout says,
-for each stratum, rule and candidate cutoff, how many of n good texts the rule would reject (k). The candidate is
-certified if the exact binomial tail P(Bin(n, risk) <= k) is at most delta / m: then the true share of good texts that
-it rejects is below `risk`, for all strata and rules at once with probability 1 - delta. Within a stratum and rule the
-candidates are tested from the laxest on until one fails, which needs no further correction (a fixed sequence; the tail
-grows with k, and k with strictness, so the candidates that pass alone are those that pass in sequence); over the
-m = strata x rules sequences the level is split by Bonferroni. The risk is split evenly over the rules, so the rules of
-a stratum together reject less than `total_risk` of its good texts. The strictest certified cutoff of each rule and stratum is used; a stratum with
-too few labels gets none, and only the base rules hold there.
+Features of a text are rates (symbols, repeated lines, repeated words, capitals, exclamation marks, word length). A text
+is rejected if any feature is above its cutoff. Cutoffs are not set by hand: LEVELS names sets of cutoffs for all rules
+together, each stricter than the one before, and a labelled holdout says for each stratum and level how many of n good
+texts the rules together would reject (k). A level is certified if the exact binomial tail P(Bin(n, RISK) <= k) is at
+most DELTA / m: then less than RISK of the stratum's good texts are rejected, for all m strata at once with probability
+1 - DELTA (Bonferroni). Within a stratum levels are tested from the laxest on until one fails, which needs no further
+correction (a fixed sequence; k grows with strictness and the tail with k, so the levels that pass alone are those that
+pass in sequence). The strictest certified level holds. A stratum with too few labels (fewer than 90, with five strata) has
+none, and only the base rules hold there.
+
+A good document counts once, however often it or its label is repeated: one trial for a doc_id, by the least of its rows'
+strata and features, and only if all its labels with a quality say good. Documents that the base rules reject are no trials.
 
 Nulls: a null text is an empty text; a null stratum is a stratum of its own; rows with a null doc_id are judged, and take
-no part in the fit. Empty text: no words, fails the base rules. Repeated rows are judged alike. A label for an unknown
-doc_id is ignored; of several labels of a doc_id each counts. Empty tables give empty results. Other columns pass through
+no part in the fit; labels without doc_id or quality are ignored, as are those of unknown documents. Empty text: no words,
+fails the base rules. Repeated rows are judged alike. Empty tables give empty results. Other columns pass through
 `filtered` untouched whatever their names; work columns start with `_fg_`.
 """
 
@@ -28,17 +30,19 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Rule: candidate cutoffs, strictest first. All are rates that grow with the fault.
-RULES = {
-    "symbol_rate": (0.02, 0.05, 0.1, 0.2, 0.3),
-    "dup_line_rate": (0.2, 0.3, 0.4, 0.5, 0.6, 0.8),
-    "repeat_rate": (0.05, 0.1, 0.15, 0.2, 0.25),
-    "upper_rate": (0.1, 0.2, 0.3, 0.5, 0.8),
-    "shout_rate": (0.02, 0.05, 0.1, 0.2),
-    "mean_word": (8.0, 9.0, 10.0, 12.0, 15.0),
+#: Cutoffs of each rule, from the laxest level to the strictest. All features are rates that grow with the fault.
+LEVELS = {
+    "symbol_rate": (0.3, 0.2, 0.1, 0.05, 0.02),
+    "dup_line_rate": (0.8, 0.6, 0.5, 0.4, 0.3),
+    "repeat_rate": (0.28, 0.25, 0.2, 0.15, 0.1),
+    "upper_rate": (0.8, 0.5, 0.3, 0.2, 0.1),
+    "shout_rate": (0.2, 0.1, 0.05, 0.03, 0.02),
+    "mean_word": (15.0, 12.0, 10.0, 9.0, 8.0),
 }
-TOTAL_RISK = 0.05
+RISK = 0.05
 DELTA = 0.05
+#: Cutoffs of up to so many strata are broadcast; beyond that they meet the documents in a join.
+MAX_BROADCAST_STRATA = 10_000
 
 
 def _covered(starts: Column) -> Column:
@@ -89,7 +93,7 @@ def base_failed(q: Column) -> Column:
 
 
 def rates(q: Column) -> Column:
-    """The features of RULES from the counts; 0 where there is nothing to divide by."""
+    """The features of LEVELS from the counts; 0 where there is nothing to divide by."""
     part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     return F.struct(
         part(q["n_symbols"], q["word_chars"]).alias("symbol_rate"),
@@ -118,52 +122,54 @@ def binomial_tail(k: Column, n: Column, risk: float) -> Column:
     return F.least(F.lit(1.0), F.exp(F.aggregate(terms, F.struct(first.alias("term"), first.alias("sum")), add, lambda a: a["sum"])))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, total_risk: float = TOTAL_RISK, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum and rule that has a certified cutoff: stratum, rule, cutoff, n, k, p.
+def _above(rate: Column, level: Column | int) -> Column:
+    """Any feature is above its cutoff at a level (a number, or a column of numbers; null: no cutoffs)."""
+    cutoff = lambda rule: F.lit(LEVELS[rule][level]) if isinstance(level, int) else F.get(F.array(*map(F.lit, LEVELS[rule])), level)
+    out = F.lit(False)
+    for rule in LEVELS:
+        out = out | F.coalesce(rate[rule] > cutoff(rule), F.lit(False))
+    return out
 
-    docs: doc_id, stratum, _fg_q; labels: doc_id, quality (1: good). Counts of all good labelled texts, aggregated to
-    strata x candidates before anything else; labels meet features by doc_id, without texts.
-    """
-    risk = total_risk / len(RULES)
-    good = docs.join(labels.where(F.col("quality") == 1).select("doc_id"), "doc_id").where(~base_failed(F.col("_fg_q"))).withColumn("_fg_r", rates(F.col("_fg_q")))
-    over = [F.count_if(F.col("_fg_r")[rule] > cut).alias(f"{rule}:{i}") for rule, cuts in RULES.items() for i, cut in enumerate(cuts)]
-    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
-    rows = [F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"), F.col(f"`{rule}:{i}`").alias("k")) for rule, cuts in RULES.items() for i, cut in enumerate(cuts)]
-    tested = counts.select("stratum", "n", F.inline(F.array(*rows)))
-    tests = counts.agg((F.count(F.lit(1)) * len(RULES)).alias("m"))
-    certain = F.when(F.col("k") <= F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(F.lit(1.0))
-    passed = tested.withColumn("p", certain).join(F.broadcast(tests), F.col("p") <= delta / F.col("m"))  # tests has one row
-    return passed.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n", "k", "p")).alias("best")).select("stratum", "rule", "best.*")
 
+def fitted(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, scope: str = "query") -> DataFrame:
+    """stratum, level, n, k, p: the strictest certified level of each stratum that has one.
 
-def judged(docs: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """docs (stratum, _fg_q, others) with _fg_failed (base rules) and _fg_kept.
-
-    The cutoffs of a stratum become one row of a few numbers, joined by the stratum; Spark broadcasts them if it finds
-    them small, and otherwise can split a stratum with many rows, as it is an ordinary equi-join.
+    docs: doc_id, stratum, _fg_q; labels: doc_id, quality (1: good). Labels meet features by doc_id, without texts, and
+    become one row for each stratum before anything else.
     """
-    wide = cutoffs.groupBy(F.col("stratum").alias("_fg_s")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select("_fg_s", F.struct(*RULES).alias("_fg_c"))
-    on = docs.join(wide, docs["stratum"].eqNullSafe(wide["_fg_s"]), "left")
-    r = lambda rule: F.coalesce(F.col("_fg_r")[rule] > F.col("_fg_c")[rule], F.lit(False))
-    on = on.withColumn("_fg_failed", base_failed(F.col("_fg_q"))).withColumn("_fg_r", rates(F.col("_fg_q")))
-    bad = F.col("_fg_failed")
-    for rule in RULES:
-        bad = bad | r(rule)
-    return on.withColumn("_fg_kept", ~bad).drop("_fg_s", "_fg_c", "_fg_r")
-
-
-def verdicts(documents: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, the counts, base_failed and kept, a row for each document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.col("text"))
-    docs = stored(measured(docs).drop("text"), "quality")
-    cutoffs = fitted(docs, only(labels, doc_id="long", quality="int"))
-    return judged(docs, cutoffs).select(
+    n_levels = len(next(iter(LEVELS.values())))
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
+    tried = docs.where(~base_failed(F.col("_fg_q"))).join(good, "doc_id").groupBy("doc_id").agg(F.min(F.struct("stratum", rates(F.col("_fg_q")).alias("rate"))).alias("_fg_t"))
+    over = [F.count_if(_above(F.col("_fg_t.rate"), i)).alias(f"k{i}") for i in range(n_levels)]
+    counts = stored(tried.groupBy(F.col("_fg_t.stratum").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *over), "strata", scope)
+    m = max(1, counts.count())
+    tested = counts.select("stratum", "n", F.inline(F.array(*(F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k")) for i in range(n_levels)))))
+    certain = F.when(F.col("k") <= F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(F.lit(1.0))
+    passed = tested.withColumn("p", certain).where(F.col("p") <= delta / m)
+    return passed.groupBy("stratum").agg(F.max(F.struct("level", "n", "k", "p")).alias("best")).select("stratum", "best.*")
+
+
+def judged(docs: DataFrame, levels: DataFrame, scope: str = "query") -> DataFrame:
+    """docs (_fg_stratum, _fg_q, others) with _fg_failed (base rules) and _fg_kept. Levels are a row for each stratum, broadcast if there are few."""
+    levels = stored(levels.select(F.col("stratum").alias("_fg_s"), F.col("level").alias("_fg_level")), "levels", scope)
+    if levels.count() <= MAX_BROADCAST_STRATA:
+        levels = F.broadcast(levels)
+    on = docs.join(levels, docs["_fg_stratum"].eqNullSafe(levels["_fg_s"]), "left")
+    on = on.withColumn("_fg_failed", base_failed(F.col("_fg_q"))).withColumn("_fg_kept", ~F.col("_fg_failed") & ~_above(rates(F.col("_fg_q")), F.col("_fg_level")))
+    return on.drop("_fg_s", "_fg_level")
+
+
+def verdicts(documents: DataFrame, labels: DataFrame, stratum: str = "lang", scope: str = "query") -> DataFrame:
+    """doc_id, the counts, base_failed, kept and stratum, a row for each document."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{stratum}`").cast("string").alias("_fg_stratum"), F.col("text"))
+    docs = stored(measured(docs).drop("text"), "quality", scope)
+    levels = fitted(docs.withColumnRenamed("_fg_stratum", "stratum"), only(labels, doc_id="long", quality="int"), scope=scope)
+    return judged(docs, levels, scope).select(
         "doc_id",
         *(F.col(f"_fg_q.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         F.col("_fg_failed").alias("base_failed"),
         F.col("_fg_kept").alias("kept"),
-        F.col("stratum").alias("stratum"),
+        F.col("_fg_stratum").alias("stratum"),
     )
 
 
@@ -174,10 +180,5 @@ def filtered(documents: DataFrame, labels: DataFrame, stratum: str = "lang", sco
     """
     table = stored(measured(documents).withColumn("_fg_stratum", F.col(f"`{stratum}`").cast("string")), "quality-docs", scope)
     slim = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fg_stratum").alias("stratum"), "_fg_q")
-    cutoffs = fitted(slim, only(labels, doc_id="long", quality="int"))
-    wide = cutoffs.groupBy(F.col("stratum").alias("_fg_s")).pivot("rule", list(RULES)).agg(F.first("cutoff")).select("_fg_s", F.struct(*RULES).alias("_fg_c"))
-    on = table.join(wide, F.col("_fg_stratum").eqNullSafe(F.col("_fg_s")), "left").withColumn("_fg_r", rates(F.col("_fg_q")))
-    good = ~base_failed(F.col("_fg_q"))
-    for rule in RULES:
-        good = good & F.coalesce(F.col("_fg_r")[rule] <= F.col("_fg_c")[rule], F.lit(True))
-    return on.where(good).select(*(F.col(f"`{c}`") for c in documents.columns))
+    levels = fitted(slim, only(labels, doc_id="long", quality="int"), scope=scope)
+    return judged(table, levels, scope).where("_fg_kept").select(*(F.col(f"`{c}`") for c in documents.columns))

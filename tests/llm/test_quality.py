@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from math import comb
 
 import pytest
@@ -14,14 +15,15 @@ def by_hand(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else set()
+    times = Counter(windows)
+    twice = {w for w in windows if times[w] > 1}
     covered = {i + j for i, w in enumerate(windows) if w in twice for j in range(8)}
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
 def test_measures_against_python(spark, with_nulls):
     repeated = "a b c d e f g h " * 3 + "x y\nx y\n z"
-    df = with_nulls.select("text").unionByName(spark.createDataFrame([(repeated,), ("a b c d e f g h i a b c d e f g h",)], "text string"))
+    df = with_nulls.select("text").unionByName(spark.createDataFrame([(repeated,), ("a b c d e f g h i a b c d e f g h",), (" ".join(f"w{k}" for k in range(9000)) + " w1 w2 w3 w4 w5 w6 w7 w8 w9",)], "text string"))
     for r in quality.measured(df).collect():
         assert tuple(r["_fg_q"][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == by_hand(r["text"])
 
@@ -51,3 +53,24 @@ def test_edges(spark, with_nulls, empty):
     kept = quality.filtered(with_nulls, labels)
     assert kept.schema == with_nulls.schema and kept.where("text is null").count() == 0
     assert quality.verdicts(empty, labels.where("false")).count() == 0 and quality.filtered(empty, labels).count() == 0
+
+
+def test_repeated_labels_and_documents_are_one_trial_each(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"word{k}x{j}" for j in range(40)), "en") for k in range(20)], "doc_id long, text string, lang string")
+    once = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    many, more = once, docs
+    for _ in range(6):
+        many, more = many.union(many), more.union(more)
+    slim = lambda d: quality.measured(d).select("doc_id", F.col("lang").alias("stratum"), "_fg_q")
+    assert quality.fitted(slim(docs), many).count() == 0 and quality.fitted(slim(more), once).count() == 0
+    assert [tuple(r)[:4] for r in quality.fitted(slim(docs), many, risk=0.2).collect()] == [("en", 3, 20, 0)]  # the words have 8 letters or more
+    torn = once.union(spark.createDataFrame([(k, 0, 0) for k in range(15)], once.schema))
+    assert [r["n"] for r in quality.fitted(slim(docs), torn, risk=0.5).collect()] == [5]
+
+
+def test_about_a_hundred_labels_certify_and_texts_are_not_dealt_by_language(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"word{k}x{j}" for j in range(40)) + (" #" * 30 if k >= 100 else ""), "en") for k in range(110)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(100)], "doc_id long, quality int")
+    left = quality.filtered(docs, labels)
+    assert {r["doc_id"] for r in left.collect()} == set(range(100))
+    assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
