@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import uuid
@@ -39,6 +40,12 @@ def release(spark: SparkSession, scope: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forgotten_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan needs any more: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,7 +83,7 @@ def lanes() -> Iterator[int]:
         k += 1
 
 
-def merged_in_a_tree(parts: DataFrame, merge: Callable[[pa.Table], pa.Table], kind: T.StructType, n_parts: int, fan_in: int = 16) -> DataFrame:
+def merged_in_a_tree(parts: DataFrame, merge: Callable[[pa.Table], pa.Table], kind: T.StructType, n_parts: int, fan_in: int = 64) -> DataFrame:
     """One row for each segment. parts: segment, lane (of `lanes`) and values; merge takes about fan_in rows of a segment into one, however many there are."""
     n = max(1, n_parts)
     while n > 1:

@@ -40,15 +40,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import lanes, merged_in_a_tree, only, schema, small, stored
+from factgrid.llm.common import forgotten_shuffles, lanes, merged_in_a_tree, only, schema, stored
 
 SEGMENTS = 64
 #: Cells of the count-min sketch: one for so many shingles, within these bounds. It is broadcast as one byte a cell.
-SHINGLES_PER_CELL, LEAST_CELLS, MOST_CELLS = 8, 1 << 16, 1 << 23
+SHINGLES_PER_CELL, LEAST_CELLS, MOST_CELLS = 8, 1 << 16, 1 << 22
 FLUSH_SHINGLES = 4_000_000
-#: Up to so many rows are named to the executors by broadcast (16 bytes each); beyond that by a join.
-MAX_BROADCAST_IDS = 250_000
+#: Up to so many rows are named to the executors by broadcast, of at most 48 bytes each; beyond that by a join.
+MAX_BROADCAST_ROWS = 1_000_000
 MAX_ROUNDS = 40
+#: A posting has a set's size above so many bits, and the place of its shingle in them.
+PLACE_BITS = 28
 #: Members of a slice of a frequent list, about; a list counts as frequent beyond that and so many times a cell's mean load.
 SLICE, MEAN_LOADS = 2048, 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -79,8 +81,8 @@ def _sketches(k: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         lane = lanes()
 
         def ship(parts: list[np.ndarray]) -> pa.RecordBatch:
-            counts = np.bincount(np.concatenate(parts), minlength=cells).astype(np.uint32).reshape(SEGMENTS, -1)
-            return pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([next(lane)] * SEGMENTS, pa.int64()), pa.array([pack(x.tobytes()) for x in counts], pa.binary())], names=["segment", "lane", "counts"])
+            counts = np.bincount(np.concatenate(parts), minlength=cells).reshape(SEGMENTS, -1)
+            return pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([next(lane)] * SEGMENTS, pa.int64()), pa.array([pack(_narrow(x)) for x in counts], pa.binary())], names=["segment", "lane", "counts"])
 
         held, n = [], 0
         for batch in batches:
@@ -97,14 +99,23 @@ def _sketches(k: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """The counts in bytes if they fit, else in four bytes each, behind the width."""
+    wide = bool(counts.max(initial=0) > 255)
+    return bytes([4 if wide else 1]) + np.minimum(counts, 0xFFFFFFFF).astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    return np.frombuffer(raw, dtype=np.uint32 if raw[0] == 4 else np.uint8, offset=1)
+
+
 def _summed(table: pa.Table) -> pa.Table:
-    unpack = zstandard.ZstdDecompressor().decompress
     total = None
     for x in table.column("counts"):
-        own = np.frombuffer(unpack(x.as_py()), dtype=np.uint32).astype(np.uint64)
-        total = own if total is None else total + own
-    counts = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "lane": table.column("lane")[:1].cast(pa.int64()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(counts.tobytes())], pa.binary())})
+        own = _counts(x.as_py())
+        total = own.astype(np.uint64) if total is None else total + own
+    return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "lane": table.column("lane")[:1].cast(pa.int64()), "counts": pa.array([zstandard.ZstdCompressor(level=1).compress(_narrow(total))], pa.binary())})
 
 
 def document_counts(texts: DataFrame, k: int, n_shingles: int, n_tasks: int) -> np.ndarray:
@@ -114,8 +125,7 @@ def document_counts(texts: DataFrame, k: int, n_shingles: int, n_tasks: int) ->
     whole = merged_in_a_tree(texts.mapInArrow(_sketches(k, cells), kind), _summed, kind, n_tasks + n_shingles // FLUSH_SHINGLES)
     ranks = np.zeros((SEGMENTS, cells // SEGMENTS), dtype=np.uint8)
     for row in whole.select("segment", "counts").collect():  # SEGMENTS rows, four bytes a cell at most
-        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), dtype=np.uint32)
-        ranks[row["segment"]] = np.minimum(255, 8 * np.log2(1.0 + counts)).astype(np.uint8)
+        ranks[row["segment"]] = np.minimum(255, 8 * np.log2(1.0 + _counts(row["counts"]))).astype(np.uint8)
     return ranks.ravel()
 
 
@@ -144,7 +154,7 @@ def _profiles(k: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _signatures(percent: int, boundary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings of classes: (key, num, n, place); place 0 for 2-subsets, whose lists have light sets only. A key's first byte is the rank of its shingle, or of the rarer one of two."""
+    """Postings of classes: (key, num, at), where at is the size and the place, << PLACE_BITS; place 0 for 2-subsets, whose lists have light sets only. A key's first byte is the rank of its shingle, or of the rarer one of two."""
     top = np.uint64(0xFF << 56)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,47 +168,91 @@ def _signatures(percent: int, boundary: int) -> Callable[[Iterator[pa.RecordBatc
                     p = prefix_length(n, percent)
                     keys.append(own[:p])
                     owner.append(np.full(p, row))
-                    places.append(np.arange(1, p + 1, dtype=np.int32))
+                    places.append((n << PLACE_BITS) + np.arange(1, p + 1))
                 if n <= boundary:
                     two = np.array([*combinations(own, 2)], dtype=np.int64).reshape(-1, 2).view(np.uint64)
                     mixed = _mixed(two[:, 0] * _M1 + _mixed(two[:, 1] + _M3) * _M2)
                     keys.append(((two.min(axis=1) & top) | (mixed >> np.uint64(8))).view(np.int64))
                     owner.append(np.full(len(two), row))
-                    places.append(np.zeros(len(two), dtype=np.int32))
+                    places.append(np.full(len(two), n << PLACE_BITS))
             at = pa.array(np.concatenate(owner) if owner else [], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), batch.column("num").take(at), batch.column("n").take(at), pa.array(np.concatenate(places) if places else [], pa.int32())],
-                names=["key", "num", "n", "place"],
-            )
+            columns = [pa.array(np.concatenate(keys) if keys else [], pa.int64()), batch.column("num").take(at), pa.array(np.concatenate(places) if places else [], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "num", "at"])
 
     return run
 
 
 def _sets(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sets of the wanted rows; shared: the sorted keys of the rows that represent a class, or None if the rows are those."""
+    """Sets of the wanted rows, once for each place where one is wanted: (home, slice, num, shingles).
+
+    shared: the wanted (row_key, node, num, home, slice), sorted by row_key; or None if rows come with their wants. A task sends a set once to a place, however often its row is repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int, int]] = set()
         wanted = None if shared is None else shared.value
         for batch in batches:
             if wanted is not None:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                at = np.searchsorted(wanted, ids)
-                batch = batch.filter(pa.array(wanted[np.minimum(at, len(wanted) - 1)] == ids))
-            sets = [shingle_set(x, k) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                first, last = np.searchsorted(wanted["row_key"], keys), np.searchsorted(wanted["row_key"], keys, side="right")
+                rows = np.flatnonzero(last > first)
+                wants = [[(bytes(wanted["node"][i]), *(int(wanted[c][i]) for c in ("num", "home", "slice"))) for i in range(first[r], last[r])] for r in rows]
+                texts = batch.column(1).take(pa.array(rows)).to_pylist()
+            else:
+                wants = [[x] for x in zip(*(batch.column(c).to_pylist() for c in ("node", "num", "home", "slice")), strict=True)]
+                texts = batch.column(1).to_pylist()
+            out: tuple[list, ...] = ([], [], [], [])
+            for text, own in zip(texts, wants, strict=True):
+                own = [x for x in own if x[1:] not in sent]
+                if own:
+                    raw = shingle_set(text, k).tobytes()
+                    node = xxhash.xxh3_128_digest(raw)
+                    for x in own:
+                        if x[0] == node:
+                            sent.add(x[1:])
+                            for to, value in zip(out, (x[2], x[3], x[1], raw), strict=True):
+                                to.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["home", "slice", "num", "shingles"])
 
     return run
 
 
-def _linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reachable(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose prefixes let them link: what both hold up to the end of the shorter reach of the prefixes is known exactly, and beyond it no more than either set has left."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            for n, x, n2, y in zip(batch.column("n").to_pylist(), batch.column("prefix"), batch.column("n2").to_pylist(), batch.column("prefix2"), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+                end = min(x[-1], y[-1])
+                i, j = np.searchsorted(x, end, side="right"), np.searchsorted(y, end, side="right")
+                most = len(np.intersect1d(x[:i], y[:j])) + min(n - i, n2 - j)
+                keep.append(100 * most >= percent * (n + n2 - most))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["member", "home"])
+
+    return run
+
+
+def _linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) of homes with the members that came to them. Rows are sorted by home and slice, the home's own set first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        own, last = np.empty(0, dtype=np.uint64), None
+        for batch in batches:
+            a, b = [], []
+            for home, piece, num, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "slice", "num")), batch.column("shingles"), strict=True):
+                shingles = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                if (home, piece) != at:
+                    at, own, last = (home, piece), shingles.copy() if home == num else np.empty(0, dtype=np.uint64), num
+                elif num != last:
+                    last = num
+                    both = len(np.intersect1d(own, shingles, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(shingles) - both):
+                        a.append(num)
+                        b.append(home)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -238,7 +292,7 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", boundary: int | None = None, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", boundary: int | None = None, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """doc_id, row_key, n, node, label for each row: node is the class of equal sets, label that of the component. boundary: the largest light set, by cost if None."""
     spark = documents.sparkSession
     docs = only(documents, doc_id="long", text="string")
@@ -251,6 +305,8 @@ def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", bo
     least = -(-100 // (100 - percent)) - 1 if percent < 100 else 1 << 60  # smaller sets link with equal sets alone
     one_each = profiles.where(F.col("n") >= least).select("node", "n", "row_key", "prefix").dropDuplicates(["node"])
     classed = stored(one_each.withColumn("num", F.monotonically_increasing_id()), "classes", scope)
+    del one_each
+    forgotten_shuffles(spark)
 
     if boundary is None:  # C(p + 1, 2) subsets against the members of p lists
         lists = classed.select(F.explode("prefix").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("lists")).first()
@@ -259,27 +315,32 @@ def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", bo
             boundary += 1
 
     # postings move once, by key and, for keys that may be frequent, a slice: the nearest member comes first and is the pivot
-    postings = classed.select("num", "n", "prefix").mapInArrow(_signatures(percent, boundary), schema("key long, num long, n long, place int"))
+    postings = classed.select("num", "n", "prefix").mapInArrow(_signatures(percent, boundary), schema("key long, num long, at long"))
     octave = (F.shiftrightunsigned("key", 56) / 8).cast("int") - F.lit(math.ceil(math.log2(SLICE + MEAN_LOADS * size_of_cell(int(size["n"] or 1)))))
     sliced = postings.withColumn("slice", F.when(octave > 0, F.pmod(F.xxhash64("num"), F.pow(F.lit(2.0), F.least(octave, F.lit(12))).cast("long")) + 1).otherwise(F.lit(0)).cast("int"))
+    sliced = sliced.repartition("key", "slice").select("key", "slice", "num", F.shiftright("at", PLACE_BITS).alias("n"), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("place"))
     member = F.struct("num", "n", "place")
     order = [F.col("n") <= boundary, F.col("place"), F.col("n").desc(), F.col("num")]
     here = Window.partitionBy("key", "slice").orderBy(*order)
-    met = sliced.withColumn("pivot", F.first(member).over(here)).withColumn("next", F.lead("num").over(here))
-    met = met.where(F.col("next").isNotNull() | (F.col("num") != F.col("pivot.num")) | (F.col("slice") > 0)).where((F.col("slice") > 0) | (F.col("pivot.n") > boundary) | (F.col("pivot.place") == 0))
-    kept = stored(met.drop("next"), "postings", scope)
+    behind = lambda k: F.lead("num", k).over(here).isNotNull().cast("int")
+    met = sliced.withColumn("pivot", F.first(member).over(here)).withColumn("members", F.row_number().over(here) + behind(1) + behind(2))
+    met = met.where((F.col("slice") > 0) | (F.col("members") > 1)).where((F.col("slice") > 0) | (F.col("pivot.n") > boundary) | (F.col("pivot.place") == 0))
+    kept = stored(met, "postings", scope)
+    del postings, sliced, met
+    forgotten_shuffles(spark)
 
     # the pivots of a list's slices meet the first of them
     among = kept.where((F.col("slice") > 0) & (F.col("num") == F.col("pivot.num"))).withColumn("pivot", F.first(member).over(Window.partitionBy("key").orderBy(*order)))
     stars = kept.select("num", "n", "place", "pivot").unionByName(among.select("num", "n", "place", "pivot")).where(F.col("num") != F.col("pivot.num"))
     stars = stars.select("num", "n", "place", F.col("pivot.num").alias("num2"), F.col("pivot.n").alias("n2"), F.col("pivot.place").alias("place2"))
-    pairs = stars.where(_possible(percent)).select(F.least("num", "num2").alias("a"), F.greatest("num", "num2").alias("b")).distinct()
-    pairs = stored(pairs, "pairs", scope)
+    pairs = stored(stars.where(_possible(percent)).select(F.col("num").alias("member"), F.col("num2").alias("home")).distinct(), "pairs", scope)
     links = _verified(docs, classed, pairs, k, percent, scope, max_broadcast)
     label = components(links, scope)
 
-    # who is outside its list's largest component meets the members of the others: each pair of components has one outside
-    known = stored(kept.join(label, F.col("num") == F.col("node"), "left").select("key", "num", "n", "place", F.coalesce("label", "num").alias("label")), "known", scope)
+    # who is outside its list's largest component meets the members of the others: each pair of components has one outside.
+    # In a list of two the star was all
+    longer = kept.where((F.col("slice") > 0) | (F.col("members") > 2)).select("key", "num", "n", "place")
+    known = stored(longer.join(label, F.col("num") == F.col("node"), "left").select("key", "num", "n", "place", F.coalesce("label", "num").alias("label")), "known", scope)
     heads = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most")).groupBy("key")
     heads = heads.agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.max("most").alias("most"))
     heads = stored(heads.where("labels > 1").select("key", "main", "most"), "heads", scope)
@@ -287,9 +348,9 @@ def classes(documents: DataFrame, k: int, percent: int, scope: str = "query", bo
     outside = open_lists.where(F.col("label") != F.col("main")).select("key", *(F.col(c).alias(f"{c}2") for c in ("num", "n", "place", "label")))
     once = (F.col("label") == F.col("main")) | (F.col("num") < F.col("num2"))
     able = (F.col("label") != F.col("label2")) & once & ((F.col("place") == 0) | (F.greatest("n", "n2") > boundary)) & _possible(percent)
-    rest = open_lists.join(outside, "key").where(able)
-    rest = rest.select(F.least("num", "num2").alias("a"), F.greatest("num", "num2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = stored(rest, "pairs", scope)
+    rest = open_lists.join(outside, "key").where(able).select(F.col("num").alias("member"), F.col("num2").alias("home")).distinct()
+    done = pairs.unionByName(pairs.select(F.col("home").alias("member"), F.col("member").alias("home")))
+    rest = stored(rest.join(done, ["member", "home"], "left_anti"), "pairs", scope)
     if rest.limit(1).count():
         links = links.unionByName(_verified(docs, classed, rest, k, percent, scope, max_broadcast))
         label = components(links, scope)
@@ -304,26 +365,37 @@ def size_of_cell(n_shingles: int) -> int:
 
 
 def _verified(docs: DataFrame, classed: DataFrame, pairs: DataFrame, k: int, percent: int, scope: str, max_broadcast: int) -> DataFrame:
-    """The pairs that link, by their whole sets, made again from the texts of the rows that represent them."""
+    """The pairs (member, home) that link, by their whole sets, made again from the texts of the rows that represent them.
+
+    Prefixes meet first, as they are a small part of the sets and exclude most pairs that share a shingle by chance. Then
+    sets move once: a member's to its home, a home's own to each slice of its members, as a home can have very many.
+    """
     spark = docs.sparkSession
-    nums = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
-    wanted = stored(classed.join(nums, "num", "left_semi").select("row_key", "node", "num"), "wanted", scope)
+    nums = stored(pairs.select(F.explode(F.array("member", "home")).alias("num")).distinct(), "nums", scope)
+    known = stored(classed.join(F.broadcast(nums) if nums.count() <= max_broadcast else nums, "num", "left_semi"), "prefixes", scope)
+    both = pairs.join(known.select(F.col("num").alias("member"), "n", "prefix"), "member").join(known.select(F.col("num").alias("home"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "home")
+    pairs = stored(both.select("member", "home", "n", "prefix", "n2", "prefix2").mapInArrow(_reachable(percent), schema("member long, home long")), "reachable", scope)
+    pieces = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("pieces"))
+    meet = pairs.join(pieces, "home").select("home", F.pmod(F.xxhash64("member"), F.col("pieces")).alias("slice"), F.col("member").alias("num"))
+    meet = meet.unionByName(pieces.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("slice"), F.col("home").alias("num")))
+    wanted = stored(meet.join(known.select("num", "row_key", "node"), "num").select("row_key", "node", "num", "home", "slice"), "wanted", scope)
     keyed = docs.select(row_key().alias("row_key"), "text")
-    if (few := small(wanted.select("row_key"), max_broadcast)) is not None:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r["row_key"] for r in few] or [-(1 << 62)], dtype=np.int64)))
-        sets = keyed.mapInArrow(_sets(k, shared), schema("node binary, shingles binary"))
+    kind = schema("home long, slice long, num long, shingles binary")
+    if wanted.count() <= max_broadcast:
+        few = wanted.toArrow().sort_by("row_key")
+        arrays = {c: few.column(c).to_numpy() for c in ("row_key", "num", "home", "slice")}
+        arrays["node"] = np.frombuffer(b"".join(few.column("node").to_pylist()), dtype="V16")
+        sets = keyed.mapInArrow(_sets(k, spark.sparkContext.broadcast(arrays)), kind)
     else:
-        sets = keyed.join(wanted.select("row_key"), "row_key", "left_semi").mapInArrow(_sets(k, None), schema("node binary, shingles binary"))
-    sets = stored(sets, "sets", scope)
-    if sets.select("node").groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat
-        sets = sets.dropDuplicates(["node"])
-    sets = stored(sets.join(wanted.select("node", "num"), "node").select("num", "shingles"), "numbered-sets", scope)
-    one = pairs.join(sets.select(F.col("num").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("num").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return stored(two.mapInArrow(_linked(percent), schema("a long, b long")), "links", scope)
+        sets = keyed.join(wanted, "row_key").select("row_key", "text", "node", "num", "home", "slice").mapInArrow(_sets(k, None), kind)
+    dealt = sets.repartition("home", "slice").sortWithinPartitions("home", "slice", F.col("num") != F.col("home"), "num")
+    links = stored(dealt.mapInArrow(_linked(percent), schema("a long, b long")), "links", scope)
+    del sets, dealt
+    forgotten_shuffles(spark)
+    return links
 
 
-def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "query", boundary: int | None = None, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "query", boundary: int | None = None, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of documents."""
     rows = stored(classes(documents, k, percent, scope, boundary, max_broadcast), "labelled", scope)
     names = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
@@ -332,7 +404,7 @@ def joined(documents: DataFrame, k: int = 3, percent: int = 90, scope: str = "qu
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def filtered(documents: DataFrame, k: int = 5, percent: int = 80, scope: str = "query", max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
+def filtered(documents: DataFrame, k: int = 5, percent: int = 80, scope: str = "query", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The documents without the rows that another row of their group stands for: that with the smallest doc_id, and of the rows that repeat it the one with the smallest row_key, stays.
 
     A row with a null doc_id stands for its group only if all rows of it have none. Of rows with equal doc_id and text one

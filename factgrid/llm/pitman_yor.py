@@ -28,7 +28,6 @@ count as often as they are there. An empty table gives an empty result; without
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import crc32_of_id, only, release, schema, stored
+from factgrid.llm.common import crc32_of_id, forgotten_shuffles, only, release, schema, stored
 
 DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
@@ -446,12 +445,6 @@ def _scored(shards: int, shared, totals: tuple[float, float, float, float]) -> C
     return run
 
 
-def _clean(spark) -> None:
-    """Lets Spark delete shuffle files that no plan needs any more: it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 # ---- the operator ---------------------------------------------------------------------------------------------------
 
 
@@ -474,13 +467,13 @@ def scored(documents: DataFrame, held_out: Column, scope: str = "query") -> Data
     early, later = f"{scope} {uuid.uuid4().hex}", f"{scope} {uuid.uuid4().hex}"  # tables that go before the end
     merged = stored(asked.groupBy("target").applyInArrow(_merged(shards), mail), "merged", early)
     del asked
-    _clean(spark)
+    forgotten_shuffles(spark)
     requests = chunks.select("chunk", "parts").mapInArrow(_word_requests(shards), mail).unionByName(merged.where("kind = 8"))
     words = stored(requests.groupBy("target").applyInArrow(_counted, mail), "words", later)
     del requests
     n_all, v = summed(words)
     pairs = stored(merged.where("kind = 6").unionByName(words.where("kind = 9")).groupBy("target").applyInArrow(_weighed, mail), "pairs", early)
-    _clean(spark)
+    forgotten_shuffles(spark)
     hot_totals: list[np.ndarray] = []
     for _ in range(1 + SWEEPS if hot else 0):
         sums = pairs.select("target", "parts").mapInArrow(_hot_tables(shared, n_all, v, hot_totals), schema("place long, n double")).groupBy("place").agg(F.sum("n").alias("n"))
@@ -491,7 +484,7 @@ def scored(documents: DataFrame, held_out: Column, scope: str = "query") -> Data
     children = stored(pairs.unionByName(merged.where("kind = 7")).groupBy("target").applyInArrow(_children(shards, shared, n_all, v, hot_totals), mail), "children", scope)
     del pairs, merged
     release(spark, early)
-    _clean(spark)
+    forgotten_shuffles(spark)
     seats = stored(words.where("kind = 10").unionByName(children.where("kind in (1, 3)")).groupBy("target").applyInArrow(_gathered, mail), "seats", later)
     totals: list[float] = []
     for _ in range(1 + SWEEPS):
@@ -500,7 +493,7 @@ def scored(documents: DataFrame, held_out: Column, scope: str = "query") -> Data
     customers, tables = summed(parent)
     del seats, words
     release(spark, later)
-    _clean(spark)
+    forgotten_shuffles(spark)
 
     answers = children.where("kind = 0").unionByName(parent.where("kind = 5"))
     kind = schema("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
