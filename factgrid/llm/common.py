@@ -25,10 +25,11 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _scratch: dict[str, list[str]] = {}
 
 
-def stored(df: DataFrame, name: str, scope: str = "query") -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, scope: str = "query", by: str | None = None) -> DataFrame:
+    """df as a table written to the shared folder (in a folder for each value of `by`) and read again: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _scratch.setdefault(scope, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,28 +2,27 @@
 
 Each word is a context with a restaurant of its own, in which the words after it are seated; all these share one parent
 restaurant over words, whose base is uniform over the vocabulary and an unknown word. A new table in a child sends one
-customer to the parent. Seatings are sampled by Gibbs: restaurant by restaurant, all customers of a dish take their seats
-again, given the restaurant's other tables and the parent's predictive; restaurants are independent given these, so a sweep
-runs in parallel. The first sweep burns in, SWEEPS follow, and predictive probabilities are averages over them (they are
-linear in the numbers of tables, so averages of tables give them). score is the log10 probability of a text's tokens, each
-after the one before it, and the first after an end.
-
-A child is sampled before its parent: the weight of its new table is (c + 1) / (N + V + 1), from the word's count in all
-training texts. The parent then is sampled with the children's tables as its customers.
+customer to the parent. Sweeps alternate: first the children, whose new tables weigh by the parent's predictive
+probability of the dish, then the parent, whose customers are the children's tables. In a sweep all customers of a dish take
+their seats again, given the other tables of the restaurant (`seated`: one by one at first, then in parties of a sixteenth
+of those that sit). The first sweep burns in; after each of the SWEEPS that follow the predictive probability of each pair
+is noted, and their average counts. score is the log10 probability of a text's tokens, each after the one before it, and
+the first after an end; perplexity is 10 ** (-score / n_tokens).
 
 How it is spread: texts become chunks of tokens (numbers in the chunk's own vocabulary), written to the shared folder. A
 chunk sends each distinct pair once, with its count in training texts, to the shard of the pair's first word; pairs of very
-frequent first words are dealt by both words. Shards merge counts and ask the shards of words for the counts of their dishes;
-these merge word counts of the chunks. Before each sweep the tables of all shards are summed, of each restaurant that is dealt
-over the shards, and of the parent; a pass repeats the sweeps before it from the same random numbers, so no seating is kept.
-Shards answer the chunks in the order of their requests, and send sums of tables to the shards of words, which sample the
-parent and answer likewise. Last, each chunk meets its answers and scores its documents. What moves is sorted arrays,
-compressed: distinct words and pairs of each chunk, which grow with the corpus, and no rows for single tokens. SHARDS grows
-with the number of tokens.
+frequent first words are dealt by both words. Shards of pairs merge counts; shards of words count words and seat the parent.
+A sweep is two steps, each written: the shards of pairs get the parent's numerators for their dishes, and send their tables
+by dish back. Sums over all shards (tables of the restaurants that are dealt out, customers and tables of the parent) go
+through the driver. Last, shards answer the chunks in the order of their requests, and each chunk meets its answers and
+scores its documents. What moves is sorted arrays, compressed: distinct words and pairs of each chunk, which grow with the
+corpus, and no rows for single tokens. The number of shards grows with the number of tokens; mail between chunks and shards
+has a row for each of both.
 
 Word counts (c, N, V) use 64-bit hashes of words and are exact counts of all training tokens; the model's pairs use 40 bits
 for each word. Nulls: a null text is empty: one end; a document with a null doc_id belongs to training. Rows that repeat
 count as often as they are there. An empty table gives an empty result; without training texts all words are unknown.
+Other columns, whatever their names, stay outside.
 """
 
 from __future__ import annotations
@@ -45,20 +44,21 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 1.0
 SWEEPS = 3
 CHUNK_TOKENS = 2_000_000
-TOKENS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 2_000_000, 64, 1 << 14
+TOKENS_PER_SHARD, LEAST_SHARDS = 2_000_000, 64
 #: The end of a text as a token; no word holds a space.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 _SHORT = np.uint64(24)
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
+    """Compressed arrays, first bytes first: the upper bytes of numbers are mostly alike."""
     c = zstandard.ZstdCompressor(level=1)
-    return [c.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
+    return [c.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()) for a in arrays]
 
 
 def _unpack(parts: list[bytes], *kinds) -> list[np.ndarray]:
     d = zstandard.ZstdDecompressor()
-    return [np.frombuffer(d.decompress(p), dtype=k) for p, k in zip(parts, kinds, strict=True)]
+    return [np.ascontiguousarray(np.frombuffer(d.decompress(p), dtype=np.uint8).reshape(np.dtype(k).itemsize, -1).T).view(k).ravel() for p, k in zip(parts, kinds, strict=True)]
 
 
 def seated(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -115,24 +115,42 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ship()
 
 
-def _pairs(vocabulary: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each token the pair of the token before it and itself, as one number."""
+def _pairs(n_words: int, end: int, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each token the pair of the token before it and itself, as one number; end: the number of the end token."""
     before = np.empty(len(numbers), dtype=np.int64)
     before[1:] = numbers[:-1]
-    starts = np.cumsum(lengths) - lengths
-    before[starts] = np.searchsorted(vocabulary, END)
-    return before * len(vocabulary) + numbers.astype(np.int64)
+    before[np.cumsum(lengths) - lengths] = end
+    return before * n_words + numbers.astype(np.int64)
 
 
-def _dealt(vocabulary: np.ndarray, distinct: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the distinct pairs by shard, bounds of the shards in it, and the words' short hashes in that order."""
-    first, second = distinct // len(vocabulary), distinct % len(vocabulary)
-    short = vocabulary >> _SHORT
-    mixed = (short * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    often = np.isin(vocabulary, hot)
-    shard = (np.where(often[first], mixed[first] + mixed[second] * np.uint64(31), mixed[first]) % np.uint64(shards)).astype(np.uint16)
+def _turns(vocabulary: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each word as a first word, and whether its pairs are dealt by both words."""
+    mixed = ((vocabulary >> _SHORT) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return (mixed % np.uint64(shards)).astype(np.uint32), np.isin(vocabulary, hot)
+
+
+def _dealt(turn: np.ndarray, often: np.ndarray, distinct: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the distinct pairs by shard, and bounds of the shards in it."""
+    first, second = distinct // len(turn), distinct % len(turn)
+    shard = (turn[first] + np.where(often[first], turn[second] * np.uint32(31), np.uint32(0))) % np.uint32(shards)
     order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1)), short[first[order]], short[second[order]]
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _slim(shards: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks with the shards of their words in place of the words: what is needed to place the answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                vocabulary, numbers, _ = _unpack(parts, np.uint64, np.uint32, np.uint32)
+                end = np.array([np.searchsorted(vocabulary, END)], dtype=np.int64)
+                out.append(_pack(end, *_turns(vocabulary, shared.value, shards), numbers))
+            at = batch.schema.get_field_index("parts")
+            yield batch.set_column(at, "parts", pa.array(out, pa.list_(pa.binary())))
+
+    return run
 
 
 def _often(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -153,14 +171,15 @@ def _pair_requests(shards: int, shared) -> Callable[[Iterator[pa.RecordBatch]],
             for row in batch.to_pylist():
                 vocabulary, numbers, _ = _unpack(row["parts"], np.uint64, np.uint32, np.uint32)
                 lengths = np.array(row["lengths"], dtype=np.int64)
-                pairs = _pairs(vocabulary, numbers, lengths)
+                pairs = _pairs(len(vocabulary), int(np.searchsorted(vocabulary, END)), numbers, lengths)
                 train = np.repeat(~np.array(row["held"], dtype=bool), lengths)
                 distinct = np.unique(pairs)
                 known, times = np.unique(pairs[train], return_counts=True)
                 counts = np.zeros(len(distinct), dtype=np.uint32)
                 counts[np.searchsorted(distinct, known)] = times
-                order, bounds, first, second = _dealt(vocabulary, distinct, shared.value, shards)
-                counts = counts[order]
+                order, bounds = _dealt(*_turns(vocabulary, shared.value, shards), distinct, shards)
+                counts, short = counts[order], vocabulary >> _SHORT
+                first, second = short[distinct[order] // len(vocabulary)], short[distinct[order] % len(vocabulary)]
                 targets, parts = [], []
                 for s in range(shards):
                     own = slice(bounds[s], bounds[s + 1])
@@ -203,6 +222,11 @@ def _posted(rows: list[tuple]) -> pa.Table:
 
 
 # ---- shards --------------------------------------------------------------------------------------------------------
+# Kinds of mail. 0: answers of pairs to a chunk; 2: requests of a chunk; 4: sums for all; 5: word counts to a chunk;
+# 6: a shard's restaurants; 7: where a chunk's pairs are; 8: dishes asked of a shard of words, 13: where they are there;
+# 9: the parent's numerators of dishes; 12: tables of pairs; 14: tables and customers of
+# a shard's part of the dealt restaurants; 15: tables by dish; 16: the parent's tables. 9 and 12 of a sample that counts have
+# 100 times its number more.
 
 
 def _steps(at: np.ndarray) -> bytes:
@@ -213,19 +237,37 @@ def _places(part: bytes) -> np.ndarray:
     return np.cumsum(_unpack([part], np.int32)[0], dtype=np.int64)
 
 
-def _merged(shards: int) -> Callable[[pa.Table], pa.Table]:
-    """Merges the pairs of a shard. Kind 6: its contexts, dishes and counts; 7: where a chunk's requests are; 8: dishes asked of a shard of words."""
+def _mailbox(table: pa.Table) -> tuple[int, dict[int, list[tuple[int, list[bytes]]]]]:
+    """The shard, and its mail by kind: (origin, parts) in the order of origins."""
+    table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
+    by: dict[int, list[tuple[int, list[bytes]]]] = {}
+    for kind, origin, parts in zip(*(table.column(c).to_pylist() for c in ("kind", "origin", "parts")), strict=True):
+        by.setdefault(kind, []).append((origin, parts))
+    return table.column("target")[0].as_py(), by
+
+
+def _by_dish(shard: int, shards: int, bounds: np.ndarray, which: np.ndarray, tables: np.ndarray) -> list[tuple]:
+    sums = np.bincount(which, weights=tables, minlength=int(bounds[-1])).astype(np.int64)
+    return [(15, s, shard, _pack(sums[bounds[s] : bounds[s + 1]])) for s in range(shards) if bounds[s] < bounds[s + 1]]
+
+
+def _of_dealt(shard: int, room: np.ndarray, place: np.ndarray, *values: np.ndarray) -> tuple:
+    sums = [np.bincount(room, weights=x, minlength=len(place))[place >= 0] for x in values]
+    return 14, -1, shard, _pack(place[place >= 0].astype(np.int64), *sums)
+
+
+def _merged(shards: int, shared) -> Callable[[pa.Table], pa.Table]:
+    """Merges the pairs of a shard, and seats each dish at one table."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("origin")
-        shard, origins = table.column("target")[0].as_py(), table.column("origin").to_pylist()
-        us, ws, cs, sizes = [], [], [], []
-        for parts in table.column("parts").to_pylist():
+        shard, by = _mailbox(table)
+        us, ws, cs = [], [], []
+        for _, parts in by[2]:
             u, runs, low, high, c = _unpack(parts, np.uint64, np.uint32, np.uint32, np.uint8, np.uint32)
             us.append(np.repeat(u, runs))
             ws.append((high.astype(np.uint64) << np.uint64(32)) | low)
-            cs.append(c.astype(np.float64))
-            sizes.append(len(c))
+            cs.append(c)
+        sizes = [len(c) for c in cs]
         u, w, c = (np.concatenate(x) for x in (us, ws, cs))
         del us, ws, cs
         order = np.lexsort((w, u))
@@ -236,211 +278,153 @@ def _merged(shards: int) -> Callable[[pa.Table], pa.Table]:
         group[order] = np.cumsum(fresh) - 1
         u, w = su[starts], sw[starts]
         counts = np.bincount(group, weights=c, minlength=len(starts))
-        rooms = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+        runs = np.diff(np.append(first, len(u))).astype(np.uint32)
         dishes, which = np.unique(w, return_inverse=True)
-        out = [(6, shard, -1, _pack(u[rooms], np.diff(np.append(rooms, len(u))).astype(np.uint32), dishes, which.astype(np.uint32), counts.astype(np.int64)))]
+        bounds = _word_bounds(dishes, shards)
+        hot = np.unique(np.asarray(shared.value, dtype=np.uint64) >> _SHORT)
+        at = np.minimum(np.searchsorted(hot, u[first]), max(0, len(hot) - 1))
+        place = np.where(hot[at] == u[first], at, -1).astype(np.int32) if len(hot) else np.full(len(first), -1, dtype=np.int32)
+        out = [(6, shard, -1, _pack(runs, place, which.astype(np.uint32), counts.astype(np.int64), bounds.astype(np.int64)))]
         at = 0
-        for origin, size in zip(origins, sizes, strict=True):
+        for (origin, _), size in zip(by[2], sizes, strict=True):
             out.append((7, shard, origin, [_steps(group[at : at + size])]))
             at += size
-        bounds = _word_bounds(dishes, shards)
+        tables = np.minimum(counts, 1)
         out += [(8, s, shard, _pack(dishes[bounds[s] : bounds[s + 1]])) for s in range(shards) if bounds[s] < bounds[s + 1]]
-        return _posted(out)
+        room = np.repeat(np.arange(len(runs)), runs)
+        return _posted([*out, *_by_dish(shard, shards, bounds, which, tables), _of_dealt(shard, room, place, tables, counts)])
 
     return run
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Merges the word counts of a shard. Kind 10: words and counts; 11: where a chunk's requests are; 9: counts of the dishes asked; 4: sums for all."""
-    table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
-    shard = table.column("target")[0].as_py()
-    asked, words, counts, dishes = [], [], [], []
-    for kind, origin, parts in zip(table.column("kind").to_pylist(), table.column("origin").to_pylist(), table.column("parts").to_pylist(), strict=True):
-        if kind == 2:
-            own, c = _unpack(parts, np.uint64, np.uint32)
-            asked.append((origin, len(own)))
-            words.append(own)
-            counts.append(c)
-        else:
-            dishes.append((origin, _unpack(parts, np.uint64)[0]))
+    """Merges the word counts of a shard, and finds its dishes."""
+    shard, by = _mailbox(table)
+    words, counts = zip(*(_unpack(parts, np.uint64, np.uint32) for _, parts in by[2]), strict=True)
     vocabulary, which = np.unique(np.concatenate(words), return_inverse=True)
     c = np.bincount(which, weights=np.concatenate(counts))
     short = vocabulary >> _SHORT
-    out = [(10, shard, -1, _pack(short, c.astype(np.int64))), (4, -1, shard, [np.array([c.sum(), float((c > 0).sum())]).tobytes()])]
+    out = [(4, -1, shard, [np.array([c.sum(), float((c > 0).sum())]).tobytes()])]
     at = 0
-    for origin, size in asked:
-        out.append((11, shard, origin, [_steps(which[at : at + size])]))
-        at += size
-    out += [(9, origin, shard, _pack(c[np.searchsorted(short, own)].astype(np.int64))) for origin, own in dishes]
-    return _posted(out)
+    for (origin, _), own in zip(by[2], words, strict=True):
+        out.append((5, origin, shard, _pack(c[which[at : at + len(own)]].astype(np.int64))))
+        at += len(own)
+    return _posted([*out, *((13, shard, origin, [_steps(np.searchsorted(short, _unpack(parts, np.uint64)[0]))]) for origin, parts in by.get(8, ()))])
 
 
-def _weighed(table: pa.Table) -> pa.Table:
-    """A shard's pairs (kind 6) with the counts of their dishes in all training texts."""
-    table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
-    first, *answers = table.column("parts").to_pylist()
-    return _posted([(6, table.column("target")[0].as_py(), -1, [*first, *_pack(np.concatenate([_unpack(x, np.int64)[0] for x in answers]))])])
+class _Shared:
+    """What a sweep knows of all shards: the vocabulary, the parent's customers and tables, and those of the dealt restaurants by place."""
+
+    def __init__(self, v: float, customers: float, tables: float, dealt_tables: np.ndarray, dealt_customers: np.ndarray):
+        self.v, self.customers, self.tables, self.dealt_tables, self.dealt_customers = v, customers, tables, dealt_tables, dealt_customers
+
+    def parent(self, numerator: np.ndarray) -> np.ndarray:
+        """The parent's predictive probabilities."""
+        return (numerator + (PARENT_STRENGTH + PARENT_DISCOUNT * self.tables) / (self.v + 1)) / (PARENT_STRENGTH + self.customers)
 
 
 class _Restaurants:
-    """The restaurants of a shard. Hot ones are dealt over all shards: they are sampled apart, given their tables in all shards before each sweep."""
+    """The restaurants of a shard: its pairs by context and by dish, with their counts."""
 
-    def __init__(self, shard: int, parts: list[bytes], hot: np.ndarray, n_all: float, v: float):
-        self.contexts, runs, self.dishes, self.which, c, of_dish = _unpack(parts, np.uint64, np.uint32, np.uint64, np.uint32, np.int64, np.int64)
-        self.shard, self.counts = shard, c.astype(np.float64)
+    def __init__(self, parts: list[bytes]):
+        runs, self.place, self.which, counts, self.bounds = _unpack(parts, np.uint32, np.int32, np.uint32, np.int64, np.int64)
+        self.counts = counts.astype(np.float64)
         self.room = np.repeat(np.arange(len(runs)), runs)
-        self.weight = ((of_dish + 1.0) / (n_all + v + 1.0))[self.which]
-        self.hot = np.isin(self.contexts, hot)
-        self.place = np.searchsorted(hot, self.contexts[self.hot])  # of the hot contexts among all hot ones
-
-    def sampled(self, often: bool, sweeps: int, totals: list[np.ndarray]) -> tuple[np.ndarray, Iterator[np.ndarray]]:
-        """Which pairs are in hot restaurants, or in the others, and their tables before and after each sweep."""
-        at = np.flatnonzero(self.hot[self.room] == often)
-        return at, self._sweeps(at, often, sweeps, totals)
-
-    def _sweeps(self, at: np.ndarray, often: bool, sweeps: int, totals: list[np.ndarray]) -> Iterator[np.ndarray]:
-        counts, weight, room = self.counts[at], self.weight[at], self.room[at]
-        rng = np.random.default_rng(1_000_003 * self.shard + (18 if often else 17))
-        tables = np.minimum(counts, 1)
-        yield tables
-        for sweep in range(sweeps):
-            total = np.bincount(room, weights=tables, minlength=len(self.contexts))
-            if often and len(at):
-                total[self.hot] = totals[sweep][self.place]
-            tables = seated(counts, (STRENGTH + DISCOUNT * np.maximum(0, total[room] - tables)) * weight, DISCOUNT, rng)
-            yield tables
-
 
-def _hot_tables(shared, n_all: float, v: float, totals: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tables of a shard's parts of hot restaurants after as many sweeps as there are totals."""
+    def of_rooms(self, values: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+        out = np.bincount(self.room, weights=values, minlength=len(self.place))
+        own = self.place >= 0
+        out[own] = dealt[self.place[own]]
+        return out[self.room]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, parts in zip(batch.column("target").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                own = _Restaurants(shard, parts, _short_hot(shared), n_all, v)
-                at, seatings = own.sampled(True, len(totals), totals)
-                *_, tables = seatings
-                sums = np.bincount(own.room[at], weights=tables, minlength=len(own.contexts))[own.hot]
-                yield pa.RecordBatch.from_arrays([pa.array(own.place, pa.int64()), pa.array(sums, pa.float64())], names=["place", "n"])
+    def parent(self, numerators: list[tuple[int, list[bytes]]], known: _Shared) -> np.ndarray:
+        return known.parent(np.concatenate([_unpack(parts, np.float32)[0] for _, parts in numerators]).astype(np.float64))[self.which]
 
-    return run
+    def predictive(self, tables: np.ndarray, p0: np.ndarray, known: _Shared) -> np.ndarray:
+        t, c = self.of_rooms(tables, known.dealt_tables), self.of_rooms(self.counts, known.dealt_customers)
+        return (self.counts - DISCOUNT * tables + (STRENGTH + DISCOUNT * t) * p0) / (STRENGTH + c)
 
 
-def _short_hot(shared) -> np.ndarray:
-    return np.unique(np.asarray(shared.value, dtype=np.uint64) >> _SHORT)
+def _tables(parts: list[bytes]) -> np.ndarray:
+    return _unpack(parts, np.uint32)[0].astype(np.float64)
 
 
-def _children(shards: int, shared, n_all: float, v: float, totals: list[np.ndarray]) -> Callable[[pa.Table], pa.Table]:
-    """Samples the restaurants of a shard, answers the chunks and reports sums of tables to the shards of words."""
+def _children(shards: int, sweep: int, known: _Shared) -> Callable[[pa.Table], pa.Table]:
+    """A sweep over a shard's restaurants, given the parent and the tables before."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
-        shard, origins, mail = table.column("target")[0].as_py(), table.column("origin").to_pylist(), table.column("parts").to_pylist()
-        own = _Restaurants(shard, mail[0], _short_hot(shared), n_all, v)
-        mean = np.zeros(len(own.counts))
-        for often in (False, True):
-            at, seatings = own.sampled(often, 1 + SWEEPS, totals)
-            for k, tables in enumerate(seatings):
-                if k > 1:
-                    mean[at] += tables / SWEEPS
-        numerator = (own.counts - DISCOUNT * mean).astype(np.float32)
-        out = [(0, origin, shard, _pack(numerator[_places(parts[0])])) for origin, parts in zip(origins[1:], mail[1:], strict=True)]
-        in_context = own.contexts, np.bincount(own.room, weights=mean), np.bincount(own.room, weights=own.counts)
-        as_dish = own.dishes, np.bincount(own.which, weights=mean)
-        for k, (words, *sums) in ((1, in_context), (3, as_dish)):
-            bounds = _word_bounds(words, shards)
-            out += [(k, s, shard, _pack(words[bounds[s] : bounds[s + 1]], *(x[bounds[s] : bounds[s + 1]].astype(np.float32) for x in sums))) for s in range(shards) if bounds[s] < bounds[s + 1]]
-        return _posted(out)
+        shard, by = _mailbox(table)
+        own = _Restaurants(by[6][0][1])
+        tables = _tables(by[12][0][1]) if 12 in by else np.minimum(own.counts, 1)
+        others = np.maximum(0, own.of_rooms(tables, known.dealt_tables) - tables)
+        tables = seated(own.counts, (STRENGTH + DISCOUNT * others) * own.parent(by[9], known), DISCOUNT, np.random.default_rng((17, shard, sweep)))
+        return _posted([(12, shard, -1, _pack(tables.astype(np.uint32))), *_by_dish(shard, shards, own.bounds, own.which, tables), _of_dealt(shard, own.room, own.place, tables, own.counts)])
 
     return run
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """Kind 10 of a shard of words: counts, tables and customers of each word's restaurant, and its customers in the parent."""
-    table = table.sort_by([("kind", "descending"), ("origin", "ascending")])
-    short, c = _unpack(table.column("parts")[0].as_py(), np.uint64, np.int64)
-    sums = np.zeros((3, len(short)))
-    for kind, parts in zip(table.column("kind").to_pylist()[1:], table.column("parts").to_pylist()[1:], strict=True):
-        words, *more = _unpack(parts, *([np.uint64] + [np.float32] * (2 if kind == 1 else 1)))
-        at = np.searchsorted(short, words)
-        for row, x in zip((0, 1) if kind == 1 else (2,), more, strict=True):
-            np.add.at(sums[row], at, x.astype(np.float64))
-    return _posted([(10, table.column("target")[0].as_py(), -1, _pack(c, *sums))])
-
-
-def _parent_sweeps(shard: int, customers: np.ndarray, v: float, sweeps: int, totals: list[float]) -> Iterator[np.ndarray]:
-    """Tables of a shard's words in the parent before and after each sweep; totals: those of all shards before each."""
-    rng = np.random.default_rng(7_654_321 * shard + 5)
-    whole = np.maximum(np.round(customers), customers > 0)
-    tables = np.minimum(whole, 1)
-    yield tables
-    for sweep in range(sweeps):
-        new = (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(0, totals[sweep] - tables)) / (v + 1)
-        tables = seated(whole, new, PARENT_DISCOUNT, rng)
-        yield tables
-
-
-def _parent_tables(v: float, totals: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, parts in zip(batch.column("target").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                customers = _unpack(parts, np.int64, *[np.float64] * 3)[3]
-                *_, tables = _parent_sweeps(shard, customers, v, len(totals), totals)
-                yield pa.RecordBatch.from_arrays([pa.array([float(tables.sum())], pa.float64())], names=["n"])
+def _answered(samples: list[_Shared]) -> Callable[[pa.Table], pa.Table]:
+    """Predictive probabilities, averaged over the samples, in the order in which each chunk asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, by = _mailbox(table)
+        own = _Restaurants(by[6][0][1])
+        p = np.zeros(len(own.counts))
+        for k, known in enumerate(samples):
+            p += own.predictive(_tables(by[12 + 100 * (k + 1)][0][1]), own.parent(by[9 + 100 * (k + 1)], known), known) / len(samples)
+        p = p.astype(np.float32)
+        return _posted([(0, origin, shard, _pack(p[_places(parts[0])])) for origin, parts in by[7]])
 
     return run
 
 
-def _parent(v: float, totals: list[float]) -> Callable[[pa.Table], pa.Table]:
-    """Samples the parent's seating of a shard's words and answers the chunks; kind 4: sums for all."""
+def _parent(sweep: int, v: float, tables: float | None) -> Callable[[pa.Table], pa.Table]:
+    """Seats the parent's customers of a shard of words anew, given its tables in all shards (None: each word gets one table), and answers the shards of pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("kind", "ascending"), ("origin", "ascending")])
-        shard, origins, mail = table.column("target")[0].as_py(), table.column("origin").to_pylist(), table.column("parts").to_pylist()
-        c, t_u, c_u, customers = _unpack(mail[0], np.int64, *[np.float64] * 3)
-        mean = np.zeros(len(customers))
-        for k, tables in enumerate(_parent_sweeps(shard, customers, v, 1 + SWEEPS, totals)):
-            if k > 1:
-                mean += tables / SWEEPS
-        numerator = np.maximum(0, customers - PARENT_DISCOUNT * mean)
-        out = []
-        for origin, parts in zip(origins[1:], mail[1:], strict=True):
-            own = _places(parts[0])
-            out.append((5, origin, shard, _pack(c[own], t_u[own].astype(np.float32), c_u[own].astype(np.float32), numerator[own].astype(np.float32))))
-        return _posted([*out, (4, -1, shard, [np.array([customers.sum(), mean.sum()]).tobytes()])])
+        shard, by = _mailbox(table)
+        places = {origin: _places(parts[0]) for origin, parts in by.get(13, ())}
+        n = max((int(x.max()) + 1 for x in places.values() if len(x)), default=0)
+        customers = np.zeros(n)
+        for origin, parts in by.get(15, ()):
+            customers[places[origin]] += _unpack(parts, np.int64)[0]
+        before = _unpack(by[16][0][1], np.uint32)[0].astype(np.float64) if 16 in by else np.minimum(customers, 1)
+        own = before
+        if tables is not None:
+            new = (PARENT_STRENGTH + PARENT_DISCOUNT * np.maximum(0, tables - before)) / (v + 1)
+            own = seated(customers, new, PARENT_DISCOUNT, np.random.default_rng((29, shard, sweep)))
+        numerator = np.maximum(0, customers - PARENT_DISCOUNT * own).astype(np.float32)
+        out = [(16, shard, -1, _pack(own.astype(np.uint32))), (4, -1, shard, [np.array([customers.sum(), own.sum()]).tobytes()])]
+        return _posted([*out, *((9, origin, shard, _pack(numerator[at])) for origin, at in places.items())])
 
     return run
 
 
-def _scored(shards: int, shared, totals: tuple[float, float, float, float]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    n_all, v, customers, tables = totals
+def _unpacked_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for parts in batch.column("parts").to_pylist():
+            place, tables, customers = _unpack(parts, np.int64, np.float64, np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(tables, pa.float64()), pa.array(customers, pa.float64())], names=["place", "tables", "customers"])
+
 
+def _scored(shards: int, n_all: float, v: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        answers = answers.sort_by([("kind", "ascending"), ("origin", "ascending")])
-        vocabulary, numbers, _ = _unpack(row["parts"], np.uint64, np.uint32, np.uint32)
+        _, by = _mailbox(answers)
+        end, turn, often, numbers = _unpack(row["parts"], np.int64, np.uint32, bool, np.uint32)
         lengths = np.array(row["lengths"], dtype=np.int64)
-        by_word, by_pair = [], []
-        for kind, parts in zip(answers.column("kind").to_pylist(), answers.column("parts").to_pylist(), strict=True):
-            if kind == 5:
-                by_word.append(_unpack(parts, np.int64, np.float32, np.float32, np.float32))
-            else:
-                by_pair.append(_unpack(parts, np.float32)[0])
-        c, t_u, c_u, numerator = (np.concatenate(x) for x in zip(*by_word, strict=True))
-        pairs = _pairs(vocabulary, numbers, lengths)
-        distinct, at = np.unique(pairs, return_inverse=True)
-        order = _dealt(vocabulary, distinct, shared.value, shards)[0]
+        c = np.concatenate([_unpack(parts, np.int64)[0] for _, parts in by[5]])
+        distinct, at = np.unique(_pairs(len(turn), int(end[0]), numbers, lengths), return_inverse=True)
+        order = _dealt(turn, often, distinct, shards)[0]
         of_pair = np.empty(len(distinct))
-        of_pair[order] = np.concatenate(by_pair)
-        base = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (PARENT_STRENGTH + customers) / (v + 1)
-        p0 = numerator / (PARENT_STRENGTH + customers) + base
-        first, second = distinct // len(vocabulary), distinct % len(vocabulary)
-        log_p = np.log10((of_pair + (STRENGTH + DISCOUNT * t_u.astype(np.float64)[first]) * p0[second]) / (STRENGTH + c_u.astype(np.float64)[first]))
+        of_pair[order] = np.log10(np.concatenate([_unpack(parts, np.float32)[0] for _, parts in by[0]]).astype(np.float64))
         log_base = np.log10((c + 1.0) / (n_all + v + 1.0))
         starts = np.cumsum(lengths) - lengths
-        sums = [np.add.reduceat(x, starts) for x in (log_p[at], log_base[numbers], (c > 0).astype(np.int64)[numbers])]
-        arrays = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(sums[2], pa.int64()), pa.array([int(n_all)] * len(lengths), pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[0], pa.float64())]
-        return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        known, base, score = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64)[numbers], log_base[numbers], of_pair[at]))
+        arrays = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array([int(n_all)] * len(lengths), pa.int64())]
+        arrays += [pa.array(x, pa.float64()) for x in (base, score, 10 ** (-score / lengths))]
+        return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return run
 
@@ -449,56 +433,74 @@ def _scored(shards: int, shared, totals: tuple[float, float, float, float]) -> C
 
 
 def scored(documents: DataFrame, held_out: Column, scope: str = "query") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document; learnt from those not held out."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each document; learnt from those not held out."""
     spark = documents.sparkSession
     docs = only(documents, doc_id="long", text="string").withColumn("held", F.coalesce(held_out, F.lit(False)))
-    chunks = stored(docs.mapInArrow(_chunks, schema(_CHUNK)), "chunks", scope)
+    first, early = f"{scope} {uuid.uuid4().hex}", f"{scope} {uuid.uuid4().hex}"  # tables that go before the end
+    chunks = stored(docs.mapInArrow(_chunks, schema(_CHUNK)), "chunks", first)
     n = chunks.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = LEAST_SHARDS
-    while shards < MOST_SHARDS and shards * TOKENS_PER_SHARD < n:
+    while shards * TOKENS_PER_SHARD < n:
         shards *= 2
     often = chunks.select("n", "parts").mapInArrow(_often(shards), schema("word long, n long")).groupBy("word").agg(F.sum("n").alias("n"))
     hot = [r["word"] for r in often.where(F.col("n") * 8 * shards > n).collect()]  # 8 * shards words at most
     shared = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
 
     mail = schema(_MAIL)
-    summed = lambda df: [float(x) for x in np.sum([[0.0, 0.0], *(np.frombuffer(r["parts"][0]) for r in df.where("kind = 4").collect())], axis=0)]  # noqa: E731 - a row for each shard
+    by_target = lambda df, f, name, scope: stored(df.groupBy("target").applyInArrow(f, mail), name, scope, by="kind")
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds)).select(*mail.names)
+    summed = lambda df: [float(x) for x in np.sum([[0.0, 0.0], *(np.frombuffer(r["parts"][0]) for r in of(df, 4).collect())], axis=0)]  # noqa: E731 - a row for each shard
+
+    def dealt(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, len(hot)))
+        for r in of(df, 14).mapInArrow(_unpacked_sums, schema("place long, tables double, customers double")).groupBy("place").agg(F.sum("tables").alias("t"), F.sum("customers").alias("c")).collect():  # 8 * shards rows at most
+            out[:, r["place"]] = r["t"], r["c"]
+        return out[0], out[1]
+
     asked = chunks.select("chunk", "held", "lengths", "parts").mapInArrow(_pair_requests(shards, shared), mail)
-    early, later = f"{scope} {uuid.uuid4().hex}", f"{scope} {uuid.uuid4().hex}"  # tables that go before the end
-    merged = stored(asked.groupBy("target").applyInArrow(_merged(shards), mail), "merged", early)
+    merged = by_target(asked, _merged(shards, shared), "merged", early)
     del asked
     forgotten_shuffles(spark)
-    requests = chunks.select("chunk", "parts").mapInArrow(_word_requests(shards), mail).unionByName(merged.where("kind = 8"))
-    words = stored(requests.groupBy("target").applyInArrow(_counted, mail), "words", later)
+    requests = chunks.select("chunk", "parts").mapInArrow(_word_requests(shards), mail).unionByName(of(merged, 8))
+    words = by_target(requests, _counted, "words", scope)
     del requests
-    n_all, v = summed(words)
-    pairs = stored(merged.where("kind = 6").unionByName(words.where("kind = 9")).groupBy("target").applyInArrow(_weighed, mail), "pairs", early)
-    forgotten_shuffles(spark)
-    hot_totals: list[np.ndarray] = []
-    for _ in range(1 + SWEEPS if hot else 0):
-        sums = pairs.select("target", "parts").mapInArrow(_hot_tables(shared, n_all, v, hot_totals), schema("place long, n double")).groupBy("place").agg(F.sum("n").alias("n"))
-        total = np.zeros(len(hot))
-        for r in sums.collect():  # 8 * shards rows at most
-            total[r["place"]] = r["n"]
-        hot_totals = [*hot_totals, total]
-    children = stored(pairs.unionByName(merged.where("kind = 7")).groupBy("target").applyInArrow(_children(shards, shared, n_all, v, hot_totals), mail), "children", scope)
-    del pairs, merged
-    release(spark, early)
-    forgotten_shuffles(spark)
-    seats = stored(words.where("kind = 10").unionByName(children.where("kind in (1, 3)")).groupBy("target").applyInArrow(_gathered, mail), "seats", later)
-    totals: list[float] = []
-    for _ in range(1 + SWEEPS):
-        totals = [*totals, seats.select("target", "parts").mapInArrow(_parent_tables(v, totals), schema("n double")).agg(F.sum("n").alias("n")).first()["n"] or 0.0]
-    parent = stored(seats.unionByName(words.where("kind = 11")).groupBy("target").applyInArrow(_parent(v, totals), mail), "parent", scope)
-    customers, tables = summed(parent)
-    del seats, words
-    release(spark, later)
     forgotten_shuffles(spark)
+    n_all, v = summed(words)
 
-    answers = children.where("kind = 0").unionByName(parent.where("kind = 5"))
-    kind = schema("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("target")).applyInArrow(_scored(shards, shared, (n_all, v, customers, tables)), kind)
+    slim = stored(chunks.mapInArrow(_slim(shards, shared), schema(_CHUNK)), "slim-chunks", scope)
+    del chunks
+    release(spark, first)
+
+    children, parent, known, samples, noted = merged, None, None, [], None
+    for sweep in range(2 + SWEEPS):
+        asked = of(words, 13).unionByName(of(children, 15))
+        new = by_target(asked.unionByName(of(parent, 16)) if parent else asked, _parent(sweep, v, known.tables if known else None), "parent", f"{early} {sweep}")
+        known, parent = _Shared(v, *summed(new), *dealt(children)), new
+        if sweep > 1:  # the first sweep burned in: this state is a sample
+            samples.append(known)
+            own = of(parent, 9).unionByName(of(children, 12)).withColumn("kind", F.col("kind") + 100 * len(samples))
+            noted = noted.unionByName(own) if noted else own
+        if sweep <= SWEEPS:
+            given = of(merged, 6).unionByName(of(parent, 9))
+            children = by_target(given.unionByName(of(children, 12)) if sweep else given, _children(shards, sweep, known), "children", f"{early} {sweep}")
+            del given
+        del asked, new
+        forgotten_shuffles(spark)
+    answers = stored(of(merged, 6, 7).unionByName(noted).groupBy("target").applyInArrow(_answered(samples), mail), "answers", scope)
+    del merged, children, parent, noted
+    for done in (early, *(f"{early} {sweep}" for sweep in range(2 + SWEEPS))):
+        release(spark, done)
+    forgotten_shuffles(spark)
+    replies = answers.unionByName(of(words, 5))
+    kind = schema("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return slim.groupBy("chunk").cogroup(replies.groupBy("target")).applyInArrow(_scored(shards, n_all, v), kind)
 
 
 def evaluated(documents: DataFrame) -> DataFrame:
     return scored(documents, F.pmod(crc32_of_id(F.col("doc_id")), F.lit(7)) == 2)
+
+
+def perplexity(scores: DataFrame) -> DataFrame:
+    """held_out, n_tokens, perplexity and base_perplexity (of the counts alone) over all tokens."""
+    out = scores.groupBy("held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "score", "base_score")))
+    return out.select("held_out", "n_tokens", *(F.pow(F.lit(10.0), -F.col(c) / F.col("n_tokens")).alias(name) for c, name in (("score", "perplexity"), ("base_score", "base_perplexity"))))
