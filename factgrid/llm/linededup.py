@@ -2,7 +2,7 @@
 
 Pass 1 reads all lines. Each task notes the bits of its line hashes in a pair of filters (seen once, seen twice) and
 ships them in compressed segments; two pairs meet as twice = twice | twice' | (once & once'), once = once | once', so a
-pair of any number of tasks is that of all their lines. Pass 2 tests each line against the "seen twice" filter; only
+pair of any number of tasks is that of all their lines (they meet in a tree, a few at a time). Pass 2 tests each line against the "seen twice" filter; only
 suspects leave the map side, as 16-byte digests with their doc_id, and an aggregation by digest confirms exactly in how
 many documents a line stands and which of them has the largest doc_id. Pass 3 rewrites the texts.
 
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import SPACE, only, schema, small, stored
+from factgrid.llm.common import SPACE, lanes, merged_in_a_tree, only, schema, small, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -60,6 +60,17 @@ def bits_of(hashes: np.ndarray, n_bits: int) -> np.ndarray:
     return np.stack([(a + np.uint64(i) * b) & np.uint64(n_bits - 1) for i in range(HASHES)])
 
 
+def with_bits(places: np.ndarray, n_bits: int) -> np.ndarray:
+    """A filter with these bits set, n_bits / 8 bytes; the work beside it grows with the places alone."""
+    out = np.zeros(n_bits // 8, dtype=np.uint8)
+    if len(places):
+        places = np.sort(places)
+        at = (places >> np.uint64(3)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out[at[first]] = np.bitwise_or.reduceat(np.uint8(1) << (places & np.uint64(7)).astype(np.uint8), first)
+    return out
+
+
 def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
@@ -67,20 +78,14 @@ def _digest(key: bytes) -> bytes:
 def _filters(n_bits: int, min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        lane = 0
+        lane = lanes()
 
         def ship(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal lane
             found, times = np.unique(np.concatenate(parts), return_counts=True)
-            pair = []
-            for hashes in (found, found[times > 1]):
-                flags = np.zeros(n_bits, dtype=bool)
-                flags[bits_of(hashes, n_bits).ravel()] = True
-                pair.append(np.packbits(flags, bitorder="little").reshape(SEGMENTS, -1))
-            lane += 1
+            pair = [with_bits(bits_of(hashes, n_bits).ravel(), n_bits).reshape(SEGMENTS, -1) for hashes in (found, found[times > 1])]
             used = [s for s in range(SEGMENTS) if pair[0][s].any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([hash((lane, len(parts), int(found[0]))) % 64] * len(used), pa.int32()), pa.array([pack(pair[0][s].tobytes()) for s in used], pa.binary()), pa.array([pack(pair[1][s].tobytes()) for s in used], pa.binary())],
+                [pa.array(used, pa.int32()), pa.array([next(lane)] * len(used), pa.int64()), pa.array([pack(pair[0][s].tobytes()) for s in used], pa.binary()), pa.array([pack(pair[1][s].tobytes()) for s in used], pa.binary())],
                 names=["segment", "lane", "once", "twice"],
             )
 
@@ -107,17 +112,16 @@ def _merged(table: pa.Table) -> pa.Table:
         a, b = (np.frombuffer(unpack(x.as_py()), dtype=np.uint8) for x in (a, b))
         once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
     pack = zstandard.ZstdCompressor(level=1).compress
-    return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "lane": table.column("lane")[:1].cast(pa.int32()), "once": pa.array([pack(once.tobytes())], pa.binary()), "twice": pa.array([pack(twice.tobytes())], pa.binary())})
+    return pa.table({"segment": table.column("segment")[:1].cast(pa.int32()), "lane": table.column("lane")[:1].cast(pa.int64()), "once": pa.array([pack(once.tobytes())], pa.binary()), "twice": pa.array([pack(twice.tobytes())], pa.binary())})
 
 
-_PAIR = "segment int, lane int, once binary, twice binary"
+_PAIR = "segment int, lane long, once binary, twice binary"
 
 
-def seen_twice(texts: DataFrame, n_bits: int, min_chars: int) -> np.ndarray:
+def seen_twice(texts: DataFrame, n_bits: int, min_chars: int, n_parts: int) -> np.ndarray:
     """The filter of lines that two documents or more hold, n_bits / 8 bytes."""
     pairs = texts.mapInArrow(_filters(n_bits, min_chars), schema(_PAIR))
-    lanes = pairs.groupBy("segment", "lane").applyInArrow(_merged, schema(_PAIR))
-    whole = lanes.groupBy("segment").applyInArrow(_merged, schema(_PAIR)).select("segment", "twice")
+    whole = merged_in_a_tree(pairs, _merged, schema(_PAIR), n_parts, fan_in=16).select("segment", "twice")  # 32 segments of 1 MB at a time
     out = np.zeros((SEGMENTS, n_bits // 8 // SEGMENTS), dtype=np.uint8)
     for row in whole.collect():  # SEGMENTS rows, MAX_FILTER_BYTES in all
         out[row["segment"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["twice"]), dtype=np.uint8)
@@ -176,9 +180,11 @@ def deduplicated(documents: DataFrame, text: str = "text", min_chars: int = MIN_
     spark = documents.sparkSession
     docs = only(documents.withColumnRenamed(text, "text"), doc_id="long", text="string")
     body = F.coalesce(F.col("text"), F.lit(""))
-    n = docs.agg(F.sum(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 1
+    lines = (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).alias("n")
+    size = docs.select(lines, F.spark_partition_id().alias("task")).agg(F.sum("n").alias("n"), F.max("task").alias("tasks")).first()
+    n = size["n"] or 1
     n_bits = min(max(LEAST_BITS, 1 << math.ceil(math.log2(n * BITS_PER_LINE))), MAX_FILTER_BYTES * 8)
-    shared = spark.sparkContext.broadcast(seen_twice(docs.select("text"), n_bits, min_chars))
+    shared = spark.sparkContext.broadcast(seen_twice(docs.select("text"), n_bits, min_chars, 1 + (size["tasks"] or 0) + n // FLUSH_LINES))
 
     suspects = docs.mapInArrow(_suspects(shared, min_chars), schema("key binary, doc_id long"))
     suspects = stored(suspects, "line-suspects", scope)

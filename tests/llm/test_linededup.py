@@ -1,6 +1,9 @@
 import hashlib
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+
 from factgrid.llm import linededup
 
 
@@ -42,3 +45,19 @@ def test_a_full_filter_changes_nothing(with_nulls, monkeypatch):
 
 def test_empty(empty):
     assert linededup.digests(empty).count() == 0 and linededup.filtered(empty).schema == empty.schema
+
+
+def test_filter_at_its_bound_takes_its_own_bytes():
+    n_bits = linededup.MAX_FILTER_BYTES * 8
+    places = linededup.bits_of(np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64), n_bits).ravel()
+    tracemalloc.start()
+    bits = linededup.with_bits(places, n_bits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < linededup.MAX_FILTER_BYTES + 100 * len(places) and int(np.unpackbits(bits).sum()) == len(np.unique(places))
+    assert np.unpackbits(bits, bitorder="little")[places.astype(np.int64)].all()
+
+
+def test_many_small_filters_meet_in_a_tree(with_nulls, monkeypatch):
+    want = sorted((tuple(r) for r in linededup.digests(with_nulls).collect()), key=str)
+    assert sorted((tuple(r) for r in linededup.digests(with_nulls.repartition(40)).collect()), key=str) == want
