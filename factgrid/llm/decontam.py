@@ -13,8 +13,8 @@ A retrieved item is verified on the words of its passage: distinct 5-word shingl
 answer (its last sentence, if it has several), that the passage holds. It is a leak if the item's overlap, or those of
 question and answer both, reach 0.8.
 
-Items are indexed in blocks of rows of a bounded size, each broadcast in turn against all documents; counts of words are
-over all items. An item of fewer than five words is one shingle, its whole word sequence, and only that makes it a leak; items
+Items of like length share an index; indexes go together, up to a bound on their size, in one broadcast and one pass over all
+documents; a larger benchmark takes more passes. Shingles are kept as sorted 64-bit hashes. Counts of words are over all items. An item of fewer than five words is one shingle, its whole word sequence, and only that makes it a leak; items
 without a word are left out. Nulls: null or empty texts hold
 no leak and leak nothing; documents with a null doc_id are searched like others. Repeated items and rows each give their
 rows. Empty tables give empty results.
@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: An index holds items of so many characters in all at most.
-MAX_INDEX_CHARS = 16 << 20
+#: The indexes of a pass hold items of so many characters in all, or one item; an index takes BYTES_PER_CHAR at most for each.
+MAX_INDEX_CHARS, BYTES_PER_CHAR = 4 << 20, 40
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,6 +60,11 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
+def hashed(words: list[str], k: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of k words."""
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + k])) for i in range(len(words) - k + 1)), dtype=np.uint64))
+
+
 class Index:
     """An inverted index of items with block maxima."""
 
@@ -66,8 +72,9 @@ class Index:
         self.threshold, self.ids = threshold, [i for i, _ in items]
         texts = [words_of(t) for _, t in items]
         self.longest = max(map(len, texts))
-        self.item = [shingles(w) for w in texts]
-        self.parts = [tuple(map(shingles, question_and_answer(t))) if len(w) >= SHINGLE else (shingles(w), set()) for w, (_, t) in zip(texts, items, strict=True)]
+        own = lambda w: (min(SHINGLE, len(w)), hashed(w, min(SHINGLE, len(w))) if w else np.empty(0, dtype=np.uint64))
+        self.item = [own(w) for w in texts]
+        self.parts = [tuple(map(own, question_and_answer(t))) if len(w) >= SHINGLE else (whole, own([])) for w, whole, (_, t) in zip(texts, self.item, items, strict=True)]
         self.vocabulary: dict[str, int] = {}
         rows: list[tuple[int, int, float]] = []
         for item, words in enumerate(texts):
@@ -80,8 +87,8 @@ class Index:
             rows += [(self.vocabulary.setdefault(w, len(self.vocabulary)), item, x / whole) for w, x in score.items()]
         rows.sort()
         v = len(self.vocabulary)
-        self.term = np.array([r[0] for r in rows], dtype=np.int64)
-        self.posting = np.array([r[1] for r in rows], dtype=np.int64)
+        self.term = np.fromiter((r[0] for r in rows), dtype=np.int64, count=len(rows))
+        self.posting = np.fromiter((r[1] for r in rows), dtype=np.int64, count=len(rows))
         self.weight = np.array([r[2] for r in rows])
         self.at = np.searchsorted(self.term, np.arange(v + 1))
         # common words: those that together add at most half the threshold to any item
@@ -165,9 +172,8 @@ class Index:
                 live = [c for c in live if c[0] < c[1] and self.posting[c[0]] < end]
         return out
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
-        """(item_id, score, overlap, question_overlap, answer_overlap) of each verified item, best passage of each."""
-        words = words_of(text)
+    def leaks(self, words: list[str]) -> list[tuple[int, float, float, float, float]]:
+        """(item_id, score, overlap, question_overlap, answer_overlap) of each verified item in a document's words, best passage of each."""
         if len(words) < MIN_ITEM_WORDS:
             return []
         get = self.vocabulary.get
@@ -181,15 +187,15 @@ class Index:
             if not items:
                 continue
             held = words[passage * step : (passage + 2) * step]
-            by_size: dict[int, set] = {}
+            by_size: dict[int, np.ndarray] = {}
 
-            def share(wanted: set) -> float:
-                if not wanted:
+            def share(wanted: tuple[int, np.ndarray]) -> float:
+                k, own = wanted
+                if not len(own):
                     return 1.0
-                k = len(next(iter(wanted)))
                 if k not in by_size:
-                    by_size[k] = {tuple(held[i : i + k]) for i in range(len(held) - k + 1)}
-                return len(wanted & by_size[k]) / len(wanted)
+                    by_size[k] = hashed(held, k)
+                return len(np.intersect1d(own, by_size[k], assume_unique=True)) / len(own)
 
             for item, score in items:
                 whole, (q, a) = share(self.item[item]), map(share, self.parts[item])
@@ -198,24 +204,33 @@ class Index:
         return [(self.ids[i], s, w, q, a) for i, (w, s, q, a) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX_INDEX_CHARS) -> Iterator[Index]:
-    """Indexes over blocks of the items, each of a bounded size; items of like length go together, so that passages suit them."""
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX_INDEX_CHARS, scope: str = "query") -> Iterator[list[Index]]:
+    """The indexes of each pass; items of like length share an index, so that passages suit them."""
     items = only(benchmark, item_id="long", text="string").where("item_id is not null and text is not null")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     items = items.withColumn("words", words).withColumn("size", F.greatest(F.lit(8), F.ceil(F.log2(F.size("words") + 1))))
     total = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
     sizes = items.groupBy("size").agg(F.sum(F.length("text")).alias("chars")).orderBy("size").collect()
-    counts = stored(items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "item-words")
+    counts = stored(items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "item-words", scope)
+    held, chars = [], 0
     for size in sizes:
         parts = max(1, math.ceil(size["chars"] / max_chars))
         for part in range(parts):
             own = items.where((F.col("size") == size["size"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part))
             rows = [(r["item_id"], r["text"]) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()]  # about max_chars
             rows = [r for r in rows if len(words_of(r[1])) >= MIN_ITEM_WORDS]
-            if rows:
-                used = own.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
-                known = {r["word"]: r["c"] for r in counts.join(used, "word", "left_semi").collect()}
-                yield Index(rows, total["n"], max(1.0, total["mean"]), {w: known.get(w, 1) for _, t in rows for w in words_of(t)}, threshold)
+            if not rows:
+                continue
+            n = sum(len(t) for _, t in rows)
+            if held and chars + n > max_chars:
+                yield held
+                held, chars = [], 0
+            used = own.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+            known = {r["word"]: r["c"] for r in counts.join(used, "word", "left_semi").collect()}
+            held.append(Index(rows, total["n"], max(1.0, total["mean"]), {w: known.get(w, 1) for _, t in rows for w in words_of(t)}, threshold))
+            chars += n
+    if held:
+        yield held
 
 
 _PAIR = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
@@ -223,9 +238,12 @@ _PAIR = "doc_id long, item_id long, score double, overlap double, question_overl
 
 def _searched(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        own: list[Index] = shared.value
         for batch in batches:
-            rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.leaks(t)]
+            rows = []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(t)
+                rows += [(d, *x) for index in own for x in index.leaks(words)]
             kinds = [x.split()[0] for x in _PAIR.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.float64()) for i in range(6)], names=kinds)
 
@@ -234,29 +252,30 @@ def _searched(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def _flagged(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        own: list[Index] = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([not index.leaks(t) for t in batch.column(text_at).to_pylist()], pa.bool_()))
+            texts = map(words_of, batch.column(text_at).to_pylist())
+            yield batch.filter(pa.array([not any(index.leaks(words) for index in own) for words in texts], pa.bool_()))
 
     return run
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX_INDEX_CHARS) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX_INDEX_CHARS, scope: str = "query") -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap: each leak of an item into a document."""
     spark = documents.sparkSession
     docs = only(documents, doc_id="long", text="string")
-    out = spark.createDataFrame([], schema(_PAIR))
-    for k, index in enumerate(indexes(benchmark, threshold, max_chars)):
-        found = docs.mapInArrow(_searched(spark.sparkContext.broadcast(index)), schema(_PAIR))
-        out = out.unionByName(found) if k else found
-    return out
+    out = None
+    for own in indexes(benchmark, threshold, max_chars, scope):
+        found = docs.mapInArrow(_searched(spark.sparkContext.broadcast(own)), schema(_PAIR))
+        out = out.unionByName(found) if out else found
+    return out if out else spark.createDataFrame([], schema(_PAIR))
 
 
-def filtered(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX_INDEX_CHARS) -> DataFrame:
+def filtered(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_chars: int = MAX_INDEX_CHARS, scope: str = "query") -> DataFrame:
     """The documents that hold no leak, with all their columns."""
     spark = documents.sparkSession
     names, typed = documents.columns, [f"c{i}" for i in range(len(documents.columns))]
     out = documents.toDF(*typed)
-    for index in indexes(benchmark, threshold, max_chars):
-        out = out.mapInArrow(_flagged(spark.sparkContext.broadcast(index), names.index("text")), out.schema)
+    for own in indexes(benchmark, threshold, max_chars, scope):
+        out = out.mapInArrow(_flagged(spark.sparkContext.broadcast(own), names.index("text")), out.schema)
     return out.toDF(*names)

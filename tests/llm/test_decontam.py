@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from factgrid.llm import decontam
 from tests.llm.conftest import prose
@@ -58,3 +59,32 @@ def test_edges(spark, with_nulls, empty):
     assert decontam.matches(with_nulls, none).count() == 0 and decontam.matches(empty, items).count() == 0
     left = decontam.filtered(with_nulls, items)
     assert left.schema == with_nulls.schema and left.count() == with_nulls.count() and decontam.filtered(empty, none).count() == 0
+
+
+def test_question_and_answer_apart_are_a_leak_and_one_of_them_is_none(spark):
+    question, answer = "which river crosses the old stone town today?", "it is the umbra of the far north."
+    items = spark.createDataFrame([(1, f"{question} {answer}")], "item_id long, text string")
+    filler = " ".join(f"f{k}" for k in range(3))
+    docs = [(1, f"{question} {filler} {answer}"), (2, f"{answer} {filler} {question}"), (3, question), (4, f"{answer} {filler}"), (5, f"{question} {answer}")]
+    got = {r["doc_id"]: r for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {1, 2, 5} and got[1]["overlap"] < 0.8 and got[1]["question_overlap"] == got[1]["answer_overlap"] == 1 and got[5]["overlap"] == 1
+
+
+def test_an_index_keeps_to_its_bytes():
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(100_000)}" for _ in range(60))) for k in range(2500)]
+    chars = sum(len(t) for _, t in items)
+    counts = {}
+    for _, t in items:
+        for w in set(t.split()):
+            counts[w] = counts.get(w, 0) + 1
+    tracemalloc.start()
+    index = decontam.Index(items, len(items), 60.0, counts, 0.5)
+    took = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert index.ids and took < decontam.BYTES_PER_CHAR * chars
+
+
+def test_small_indexes_share_a_pass(spark):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(10 + 400 * (k % 2)))) for k in range(6)], "item_id long, text string")
+    assert [len(x) for x in decontam.indexes(items)] == [2] and len([*decontam.indexes(items, max_chars=100)]) > 2
