@@ -232,23 +232,27 @@ def supplier_nodes(edges: DataFrame) -> DataFrame:
 
 
 _HOPS = 6
-_REACH = f"""WITH RECURSIVE {_S}, w AS (SELECT src, src AS dst, 0 AS hops, [src] AS path FROM ({_FROM}) f
+_WALKS = f"""WITH RECURSIVE {_S}, w AS (SELECT src, src AS dst, 0 AS hops, [src] AS path FROM ({_FROM}) f
  UNION ALL SELECT w.src, g.dst, hops + 1, list_append(path, g.dst) FROM w JOIN g ON w.dst = g.src WHERE hops < {_HOPS} AND NOT list_contains(path, g.dst))"""
+_REACH = f"WITH RECURSIVE {_S}, w AS (SELECT src, src AS dst FROM ({_FROM}) f UNION SELECT w.src, g.dst FROM w JOIN g ON w.dst = g.src)"
+_SHORTEST = f"""WITH RECURSIVE {_S}, w(src, dst, hops, path) USING KEY (src, dst) AS (SELECT DISTINCT src, src, 0, [src] FROM ({_FROM}) f
+ UNION SELECT w.src, g.dst, w.hops + 1, min(list_append(w.path, g.dst)) FROM w JOIN g ON w.dst = g.src
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.w k WHERE k.src = w.src AND k.dst = g.dst) GROUP BY 1, 2, 3)"""
 
 
-@_query("q2_has_path", f"{_REACH} SELECT DISTINCT src, dst FROM w")
+@_query("q2_has_path", f"{_REACH} SELECT src, dst FROM w")
 def q2(spark, sf_dir):
     e = supplier_edges(spark, sf_dir)
     return graph.shortest_paths(e.select("file_id", "src"), e).select("src", "dst")
 
 
-@_query("q3_find_path", f"{_REACH}, m AS (SELECT src, dst, min(hops) AS hops FROM w GROUP BY 1, 2) SELECT src, dst, m.hops, array_to_string(min(path), '>') AS path FROM w JOIN m USING (src, dst) WHERE w.hops = m.hops GROUP BY 1, 2, 3")
+@_query("q3_find_path", f"{_SHORTEST} SELECT src, dst, hops, array_to_string(path, '>') AS path FROM w")
 def q3(spark, sf_dir):
     e = supplier_edges(spark, sf_dir)
     return graph.shortest_paths(e.select("file_id", "src"), e).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
-@_query("q4_all_paths", f"{_REACH} SELECT src, dst, array_to_string(path, '>') AS path FROM w WHERE hops > 0 AND dst IN ('s1', 's2', 's3', 's5')")
+@_query("q4_all_paths", f"{_WALKS} SELECT src, dst, array_to_string(path, '>') AS path FROM w WHERE hops > 0")
 def q4(spark, sf_dir):
     e = supplier_edges(spark, sf_dir)
     return graph.simple_paths(e.select("file_id", "src"), e, _HOPS).select("src", "dst", F.array_join("path", ">").alias("path"))
@@ -552,7 +556,7 @@ def c13(spark, sf_dir):
 
 
 
-@_query("c2_json_claims", f"SELECT event_id, event_type AS subject, 'existence' AS claim_type, NULL::VARCHAR AS object FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_type, 'call', 'u' || user_id FROM events WHERE event_id % 3 = 0")
+@_query("c2_json_claims", f"SELECT event_id, event_type AS subject, 'existence' AS claim_type, NULL::VARCHAR AS object FROM events UNION ALL SELECT event_id, event_type, 'call', 'u' || user_id FROM events")
 def c2(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     body = F.concat(F.lit('```json\n{"functions": [{"name": "'), "event_type", F.lit('", "calls": ["u'), F.col("user_id").cast("string"), F.lit('", "a.b", 7]}, 5, {"calls": []}]}\n```'))
