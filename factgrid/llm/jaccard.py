@@ -53,6 +53,8 @@ MAX_ROUNDS = 40
 PLACE_BITS = 28
 #: Members of a slice of a frequent list, about; a list counts as frequent beyond that and so many times a cell's mean load.
 SLICE, MEAN_LOADS = 2048, 16
+#: Members of a home that are verified in one place, about.
+PIECE = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -375,7 +377,7 @@ def _verified(docs: DataFrame, classed: DataFrame, pairs: DataFrame, k: int, per
     known = stored(classed.join(F.broadcast(nums) if nums.count() <= max_broadcast else nums, "num", "left_semi"), "prefixes", scope)
     both = pairs.join(known.select(F.col("num").alias("member"), "n", "prefix"), "member").join(known.select(F.col("num").alias("home"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2")), "home")
     pairs = stored(both.select("member", "home", "n", "prefix", "n2", "prefix2").mapInArrow(_reachable(percent), schema("member long, home long")), "reachable", scope)
-    pieces = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("pieces"))
+    pieces = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
     meet = pairs.join(pieces, "home").select("home", F.pmod(F.xxhash64("member"), F.col("pieces")).alias("slice"), F.col("member").alias("num"))
     meet = meet.unionByName(pieces.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("slice"), F.col("home").alias("num")))
     wanted = stored(meet.join(known.select("num", "row_key", "node"), "num").select("row_key", "node", "num", "home", "slice"), "wanted", scope)
