@@ -7,6 +7,8 @@ regexp_extract_all, JSON as VARIANT, so a malformed item doesn't cost its neighb
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,15 +100,17 @@ def _of_match(kind: str, predicate: str, confidence: float, pattern: int):
     return one
 
 
+def _groups(pattern: str, n: int) -> Callable[[Column], Column]:
+    """A match with its groups: a text is searched once, and the match by itself has the same groups, as no pattern looks beyond its ends."""
+    return lambda m: F.struct(m.alias("g0"), *(F.regexp_extract(m, FLAGS + pattern, g).alias(f"g{g}") for g in range(1, n + 1)))
+
+
 def pattern_claims(text: Column, kind: str, predicate: str, confidence: float, patterns: tuple[str, ...], first: int = 0) -> Column:
     """An array of claims from all matches of the patterns; rank keeps pattern and place."""
     arrays = []
     for k, pattern in enumerate(patterns):
         rx, two = F.lit(FLAGS + pattern), kind != "existence"
-        groups = [F.regexp_extract_all(text, rx, F.lit(g)).alias(f"g{g}") for g in ((0, 1, 2) if two else (0, 1))]
-
-        one = _of_match(kind, predicate, confidence, first + k)
-        found = F.transform(F.arrays_zip(*groups), one)
+        found = F.transform(F.transform(F.regexp_extract_all(text, rx, F.lit(0)), _groups(pattern, 2 if two else 1)), _of_match(kind, predicate, confidence, first + k))
         good = (lambda c: is_identifier(c["subject"]) & is_identifier(c["object"])) if two else (lambda c: is_identifier(c["subject"]))
         arrays.append(F.filter(found, good))
     return F.concat(*arrays)

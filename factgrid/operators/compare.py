@@ -43,20 +43,20 @@ def compared(truth: DataFrame, claimed: DataFrame, keys: list[str]) -> DataFrame
     """keys, caller, callee, status: correct (a true edge that is claimed), missed, hallucination.
 
     Edges match if they are equal, or equal in base names. Each true edge takes one claimed edge: the equal one, else the
-    least of those with its base names; a claimed edge that no true edge takes is a hallucination. One full outer join on
-    keys and base names, which are equal wherever the edges are.
+    least of those with its base names; a claimed edge that no true edge takes is a hallucination. They meet in a join on keys
+    and base names, which are equal wherever the edges are; only edges that meet are ordered, by their true edge.
     """
     base = lambda t: t.withColumn("_a", base_name(F.col("caller"))).withColumn("_b", base_name(F.col("callee")))
     t = base(truth.distinct()).select(*keys, "_a", "_b", F.col("caller").alias("tc"), F.col("callee").alias("te"))
     c = base(claimed.distinct()).select(*keys, "_a", "_b", F.col("caller").alias("cc"), F.col("callee").alias("ce"))
-    both = t.join(c, [*keys, "_a", "_b"], "full")
+    met = t.join(c, [*keys, "_a", "_b"])
     equal = (F.col("tc") == F.col("cc")) & (F.col("te") == F.col("ce"))
-    first = Window.partitionBy(*keys, "tc", "te").orderBy(F.coalesce(equal, F.lit(False)).desc(), "cc", "ce")
-    both = both.withColumn("_taken", F.col("tc").isNotNull() & F.col("cc").isNotNull() & (F.row_number().over(first) == 1))
-    of_truth = both.where("tc is not null").groupBy(*keys, F.col("tc").alias("caller"), F.col("te").alias("callee")).agg(F.max("_taken").alias("m"))
-    of_truth = of_truth.select(*keys, "caller", "callee", F.when(F.col("m"), "correct").otherwise("missed").alias("status"))
-    of_claims = both.where("cc is not null").groupBy(*keys, F.col("cc").alias("caller"), F.col("ce").alias("callee")).agg(F.max("_taken").alias("m"))
-    return of_truth.unionByName(of_claims.where(~F.col("m")).select(*keys, "caller", "callee", F.lit("hallucination").alias("status")))
+    first = Window.partitionBy(*keys, "tc", "te").orderBy(equal.desc(), "cc", "ce")
+    taken = met.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*keys, "tc", "te", "cc", "ce", F.lit(True).alias("_taken"))
+    of_truth = t.join(taken.select(*keys, "tc", "te", "_taken"), [*keys, "tc", "te"], "left")
+    of_truth = of_truth.select(*keys, F.col("tc").alias("caller"), F.col("te").alias("callee"), F.when(F.col("_taken"), "correct").otherwise("missed").alias("status"))
+    free = c.join(taken.select(*keys, "cc", "ce").distinct(), [*keys, "cc", "ce"], "left_anti")
+    return of_truth.unionByName(free.select(*keys, F.col("cc").alias("caller"), F.col("ce").alias("callee"), F.lit("hallucination").alias("status")))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -2,18 +2,19 @@
 
 mentions(file_id, text, expected_type) against vocab(file_id, category, name). Each distinct mention is resolved once. The
 cheap equi-joins come first; only mentions that they leave open meet the vocabulary of their own file in a similarity join
-(equi-key file_id and category, score as residual), so no join runs across files.
+(equi-key file_id, category and band of length, score as residual), so no join runs across files.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgrid.functions.names import normal
-from factgrid.functions.similarity import indel_ratio, length_ratio
+from factgrid.functions.similarity import indel_ratio, length_ratio, levenshtein_ratio
 
 # Spoken names of special entities, candidates in order.
 ALIASES = {
@@ -74,6 +75,23 @@ def _wanted() -> Column:
     return F.when(F.col("expected_type").isin(*CATEGORIES), F.col("expected_type")).otherwise(F.lit(""))
 
 
+def _length_ratio(score: Callable[[Column, Column], Column], fuzzy_threshold: int, partial_threshold: float) -> float | None:
+    """How much longer one of two names can be that match at all; None if the score sets no bound. A score is rounded, so half a point less may do."""
+    least = fuzzy_threshold - 0.5
+    bounds = {indel_ratio: 200 / least - 1, levenshtein_ratio: 100 / least} if least > 0 and partial_threshold > 0 else {}
+    return max(bounds[score], 1 / partial_threshold) if score in bounds else None
+
+
+def _of_like_length(open_: DataFrame, names: DataFrame, ratio: float | None) -> DataFrame:
+    """Open mentions with the names of their file and category; if lengths can differ by a ratio at most, with those of the neighbouring bands of length alone."""
+    if ratio is None or ratio <= 1.01:
+        return open_.join(names, ["file_id", "wanted"])
+    band = lambda c: F.floor(F.log(F.length(c)) / math.log(ratio)).cast("int")
+    own = names.where("name_low <> ''").withColumn("band", band("name_low"))
+    asked = open_.withColumn("band", F.explode(F.array(*(band("low") + k for k in (-1, 0, 1)))))
+    return asked.join(own, ["file_id", "wanted", "band"]).drop("band")
+
+
 def resolved(mentions: DataFrame, vocab: DataFrame, score: Callable[[Column, Column], Column] = indel_ratio, fuzzy_threshold: int = FUZZY_THRESHOLD, partial_threshold: float = PARTIAL_THRESHOLD) -> DataFrame:
     """The distinct mentions with code_entity, match_type, confidence, entity_type. Of equally good names the least one is taken."""
     spark = mentions.sparkSession
@@ -92,7 +110,7 @@ def resolved(mentions: DataFrame, vocab: DataFrame, score: Callable[[Column, Col
     found = found.unionByName(best.select(*key, F.col("b.candidate").alias("name"), "b.entity_type", F.lit("alias").alias("match_type"), F.lit(ALIAS_CONFIDENCE).alias("confidence")))
     open_ = open_.join(best, key, "left_anti")
 
-    near = open_.join(names, ["file_id", "wanted"])
+    near = _of_like_length(open_, names, _length_ratio(score, fuzzy_threshold, partial_threshold))
     # a ratio of r needs lengths within 200 / r - 1 of each other: that is checked before any score
     shorter, longer = F.least(F.length("low"), F.length("name_low")), F.greatest(F.length("low"), F.length("name_low"))
     fuzzy = near.where(200 * shorter >= (fuzzy_threshold - 1) * (shorter + longer)) if score is indel_ratio else near

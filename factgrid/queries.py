@@ -252,6 +252,29 @@ def q3(spark, sf_dir):
     return graph.shortest_paths(e.select("file_id", "src"), e).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
+_ASKED = "SELECT DISTINCT 's' || l_suppkey AS src, 's' || (l_partkey % 150) AS dst FROM lineitem"
+
+
+def _asked(spark, sf_dir):
+    """Questions of every line item: from its supplier to a name that may be no node."""
+    e = supplier_edges(spark, sf_dir)
+    pairs = table(spark, sf_dir, "lineitem").select(F.lit("sup").alias("file_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("s"), F.col("l_partkey") % 150).alias("dst")).distinct()
+    return pairs, supplier_nodes(e).withColumn("graph", F.lit("call")), e.withColumn("graph", F.lit("call"))
+
+
+_NODES = "n AS (SELECT src AS id FROM g UNION SELECT dst FROM g)"
+
+
+@_query("q2_path_answers", f"{_REACH}, {_NODES} SELECT src, dst, (src IN (SELECT id FROM n) AND src = dst) OR (src, dst) IN (SELECT (src, dst) FROM w) AS has_path FROM ({_ASKED}) a")
+def q2_answers(spark, sf_dir):
+    return graph.has_path(*_asked(spark, sf_dir)).select("src", "dst", "has_path")
+
+
+@_query("q3_path_answers", f"{_SHORTEST}, {_NODES} SELECT a.src, a.dst, coalesce(array_to_string(path, '>'), CASE WHEN a.src = a.dst AND a.src IN (SELECT id FROM n) THEN a.src END) AS path FROM ({_ASKED}) a LEFT JOIN w ON w.src = a.src AND w.dst = a.dst")
+def q3_answers(spark, sf_dir):
+    return graph.find_path(*_asked(spark, sf_dir)).select("src", "dst", F.array_join("path", ">").alias("path"))
+
+
 @_query("q4_all_paths", f"{_WALKS} SELECT src, dst, array_to_string(path, '>') AS path FROM w WHERE hops > 0")
 def q4(spark, sf_dir):
     e = supplier_edges(spark, sf_dir)
@@ -547,6 +570,34 @@ _C13 = """WITH s AS (SELECT user_id, event_id, ts, sum(CASE WHEN event_type = 's
 SELECT user_id, CAST(segment AS BIGINT) AS segment, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS events FROM s WHERE segment > 0 GROUP BY 1, 2"""
 
 
+# Sentences that one pattern of a family fits: {0} and {1} are names made of a supplier's key and of the next one.
+_SENTENCES = {
+    "call": ("{0} calls {1}", "The {0} function calls {1} here", "{0} invokes {1}", "{0} executes {1}", "in {0}, {1} is called", "{0} -> {1}", "{0} → {1}", "ÇAĞIRIYOR: {0}, {1}"),
+    "data_flow": ("{0} is derived from {1}", "{0} depends on {1}", "{0} uses {1}", "{0} is passed to {1}", "Data flows from {0} to {1}"),
+    "existence": ("there is a function called {0}", "Class {0} is defined", "{0} method is declared", "variable named {0} exists"),
+    "attribute": ("{0} has a method called {1}", "{0} contains {1} method", "method {0} of class {1}"),
+}
+_SPEAKS_OF = "['function', 'class', 'method', 'variable'][sentence + 1]"
+
+
+def _sentence_query(name: str, kind: str, predicate: str, confidence: float, patterns: tuple[str, ...]) -> None:
+    two = kind != "existence"
+    sql = f"""SELECT CAST(s_suppkey AS VARCHAR) AS file_id, CAST(sentence AS INT) AS sentence, 'item' || s_suppkey AS subject, {"'item' || (s_suppkey + 1)" if two else "NULL::VARCHAR"} AS object,
+     '{predicate}' AS predicate, {confidence}::DOUBLE AS confidence, {"NULL::VARCHAR" if two else _SPEAKS_OF} AS entity_type FROM supplier, range({len(_SENTENCES[kind])}) r(sentence)"""
+
+    @_query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, b = F.concat(F.lit("Item"), F.col("s_suppkey")), F.concat(F.lit("item"), F.col("s_suppkey") + 1)
+        said = F.array(*(F.struct(F.lit(i).alias("sentence"), F.replace(F.replace(F.lit(x), F.lit("{0}"), a), F.lit("{1}"), b).alias("text")) for i, x in enumerate(_SENTENCES[kind])))
+        rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_id"), F.inline(said))
+        found = rows.select("file_id", "sentence", F.explode(claims.pattern_claims(F.col("text"), kind, predicate, confidence, patterns)).alias("c"))
+        return found.select("file_id", "sentence", "c.subject", "c.object", "c.predicate", "c.confidence", "c.entity_type")
+
+
+for _name, _family in zip(("c4_call_sentences", "c5_data_flow_sentences", "c6_existence_sentences", "c7_attribute_sentences"), claims.FAMILIES, strict=True):
+    _sentence_query(_name, *_family)
+
+
 @_query("c13_segments", _C13)
 def c13(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("id", F.col("event_id").cast("string"))
@@ -564,6 +615,47 @@ def c2(spark, sf_dir):
     return rows.select("event_id", "c.subject", "c.claim_type", "c.object")
 
 
+# ---- verdict rules: suppliers as functions, classes and methods, orders as claims about them ------------------------
+
+_RULES = """WITH RECURSIVE id AS (SELECT k, 'n' || substr(md5(CAST(k AS VARCHAR)), 1, 14) AS name FROM range(1300) r(k)),
+s AS (SELECT s_suppkey AS k, name, CASE s_suppkey % 4 WHEN 2 THEN 'class' WHEN 3 THEN 'method' ELSE 'function' END AS category FROM supplier JOIN id ON k = s_suppkey),
+ca AS (SELECT DISTINCT a.name AS src, b.name AS dst FROM s a JOIN s b ON b.k = (7 * a.k + 3) % 100 OR b.k = a.k // 2 WHERE a.k <> b.k UNION SELECT name, 'print' FROM s WHERE k % 6 = 0),
+fl AS (SELECT DISTINCT a.name AS src, b.name AS dst FROM s a JOIN s b ON b.k = (3 * a.k + 1) % 100 WHERE a.k <> b.k AND a.k % 2 = 0),
+rc AS (SELECT name AS src, name AS dst FROM s UNION SELECT rc.src, ca.dst FROM rc JOIN ca ON rc.dst = ca.src),
+rf AS (SELECT name AS src, name AS dst FROM s UNION SELECT rf.src, fl.dst FROM rf JOIN fl ON rf.dst = fl.src),
+c AS (SELECT DISTINCT ['call', 'data_flow', 'existence', 'attribute', 'relationship'][o_orderkey % 5 + 1] AS claim_type, i.name AS subject, CASE WHEN o_orderkey % 11 = 0 THEN 'print' ELSE j.name END AS object
+ FROM orders JOIN id i ON i.k = o_custkey % 130 JOIN id j ON j.k = o_orderkey % 130),
+m AS (SELECT c.*, subject IN (SELECT name FROM s WHERE c.claim_type NOT IN ('call', 'attribute') OR category = CASE c.claim_type WHEN 'call' THEN 'function' ELSE 'class' END) AS has_s,
+ object IN (SELECT name FROM s WHERE c.claim_type NOT IN ('call', 'attribute') OR category = CASE c.claim_type WHEN 'call' THEN 'function' ELSE 'method' END) AS has_o,
+ (subject, object) IN (SELECT (src, dst) FROM ca) AS edge, (subject, object) IN (SELECT (src, dst) FROM rc) AS calls, (subject, object) IN (SELECT (src, dst) FROM rf) AS flows, (object, subject) IN (SELECT (src, dst) FROM rf) AS back FROM c),
+v AS (SELECT claim_type, subject, object, CASE claim_type
+  WHEN 'call' THEN CASE WHEN NOT has_s THEN 'unverifiable 0.3' WHEN NOT has_o AND object = 'print' AND edge THEN 'valid 0.9' WHEN NOT has_o THEN 'hallucination 0.8' WHEN edge THEN 'valid 1.0' WHEN calls THEN 'partially_valid 0.6' ELSE 'hallucination 0.9' END
+  WHEN 'data_flow' THEN CASE WHEN NOT (has_s AND has_o) THEN 'unverifiable 0.3' WHEN flows THEN 'valid 0.85' WHEN back THEN 'partially_valid 0.6' ELSE 'hallucination 0.7' END
+  WHEN 'existence' THEN CASE WHEN has_s THEN 'valid 1.0' ELSE 'hallucination 0.9' END
+  WHEN 'attribute' THEN CASE WHEN NOT has_s THEN 'unverifiable 0.3' WHEN has_o THEN 'valid 1.0' ELSE 'hallucination 0.8' END
+  ELSE 'unverifiable 0.0' END AS verdict FROM m)
+SELECT claim_type, subject, object, string_split(verdict, ' ')[1] AS result, CAST(string_split(verdict, ' ')[2] AS DOUBLE) AS verdict_confidence FROM v"""
+
+
+@_query("v1_rules", _RULES)
+def v1_rules(spark, sf_dir):
+    """Every rule over whole tables: names are digests, so that none is near another, and lookups go by the type that a claim expects."""
+    name = lambda k: F.concat(F.lit("n"), F.substring(F.md5(k.cast("string").cast("binary")), 1, 14))
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.lit("all").alias("file_id"), k.alias("k"), name(k).alias("name"), F.when(k % 4 == 2, "class").when(k % 4 == 3, "method").otherwise("function").alias("category"))
+    ends = s.select(F.col("k").alias("d"), F.col("name").alias("dst"))
+    edge = lambda kind, to, some: s.where(some).withColumn("d", to).where("d <> k").join(ends, "d").select("file_id", F.lit(kind).alias("graph"), F.col("name").alias("src"), "dst")
+    k = F.col("k")
+    calls = edge("call", (7 * k + 3) % 100, F.lit(True)).unionByName(edge("call", F.floor(k / 2), F.lit(True)))
+    calls = calls.unionByName(s.where(k % 6 == 0).select("file_id", F.lit("call").alias("graph"), F.col("name").alias("src"), F.lit("print").alias("dst")))
+    edges = calls.unionByName(edge("data_flow", (3 * k + 1) % 100, k % 2 == 0))
+    nodes = s.select("file_id", F.explode(F.array(F.lit("call"), F.lit("data_flow"))).alias("graph"), F.col("name").alias("id"), F.col("category").alias("node_type"), F.lit(0).alias("lineno"))
+    o = table(spark, sf_dir, "orders")
+    kind = F.get(F.array(*map(F.lit, ("call", "data_flow", "existence", "attribute", "relationship"))), (F.col("o_orderkey") % 5).cast("int"))
+    said = o.select(F.lit("all").alias("file_id"), kind.alias("claim_type"), name(F.col("o_custkey") % 130).alias("subject"), F.when(F.col("o_orderkey") % 11 == 0, "print").otherwise(name(F.col("o_orderkey") % 130)).alias("object")).distinct()
+    return verify.verified(said, resolve.typed(s.select("file_id", "category", "name")), nodes, edges).select("claim_type", "subject", "object", "result", "verdict_confidence")
+
+
 # ---- programs of our own: what no table holds, rows only ------------------------------------------------------------
 
 PROGRAM = '''
@@ -606,48 +698,62 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("a.py", PROGRAM), ("broken.py", "def ("), ("empty.py", "")], "file_id string, code string")
 
 
-def _program_query(name: str):
+def _values(columns: str, *rows: str) -> str:
+    """What follows from the programs above by reading them."""
+    whole = " REPLACE (CAST(ord AS BIGINT) AS ord)" if "ord" in columns.split(", ") else ""
+    return f"SELECT *{whole} FROM (VALUES {', '.join(rows)}) v({columns})"
+
+
+def _program_query(name: str, sql: str):
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             from factgrid.plans.analysis import program
 
             return f(spark, program(sources(spark)))
 
-        QUERIES[name] = run
+        _query(name, sql)(run)
         return f
 
     return put
 
 
-for _name, _pick in {
-    "x1_facts": lambda spark, p: p.facts.select("file_id", F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("variables").alias("variables"), F.size("imports").alias("imports"), "error"),
-    "x2_functions": lambda spark, p: p.functions,
-    "x3_classes": lambda spark, p: p.classes,
-    "x4_imports": lambda spark, p: p.imports,
-    "x6_variables": lambda spark, p: p.variables,
-    "x7_calls": lambda spark, p: p.call_rel,
-}.items():
-    _program_query(_name)(_pick)
+def _joined(df: DataFrame) -> DataFrame:
+    """Lists as strings."""
+    return df.select(*(F.array_join(c, ",").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes))
+
+
+_program_query("x1_facts", _values("file_id, functions, classes, variables, imports, failed", "('a.py', 4, 1, 2, 3, FALSE)", "('broken.py', 0, 0, 0, 0, TRUE)", "('empty.py', 0, 0, 0, 0, FALSE)"))(
+    lambda spark, p: p.facts.select("file_id", F.size(F.array_distinct("functions.name")).alias("functions"), F.size("classes").alias("classes"), F.size("variables").alias("variables"), F.size("imports").alias("imports"), F.col("error").isNotNull().alias("failed"))
+)
+_program_query("x2_functions", _values("file_id, name, ord, lineno, args, returns, calls, variables, docstring",
+    "('a.py', 'area', 4, 12, 'self,w,*rest,**more', 'float', 'helper,sqrt', 'total', 'Area.')", "('a.py', 'helper', 5, 17, 'self,x', NULL, '', '', NULL)",
+    "('a.py', 'run', 2, 21, 'n', NULL, 'Shape,area,finish,print,range', 'shape', NULL)", "('a.py', 'finish', 3, 28, 'n', NULL, '', '', NULL)"))(lambda spark, p: _joined(p.functions))
+_program_query("x3_classes", _values("file_id, name, ord, lineno, bases, methods, attributes, docstring", "('a.py', 'Shape', 0, 9, 'Base', 'area,helper', 'kind', NULL::VARCHAR)"))(lambda spark, p: _joined(p.classes))
+_program_query("x4_imports", _values("file_id, ord, module, names, alias, lineno", "('a.py', 0, 'os', 'os', NULL, 2)", "('a.py', 1, 'sys', 'sys', 'system', 2)", "('a.py', 2, 'math', 'sqrt', NULL, 3)"))(lambda spark, p: _joined(p.imports))
+_program_query("x6_variables", _values("file_id, name, ord, lineno, scope, assigned_value, dependencies", "('a.py', 'LIMIT', 0, 5, 'global', '10', '')", "('a.py', 'SCALE', 1, 6, 'global', 'LIMIT * 2', 'LIMIT')"))(lambda spark, p: _joined(p.variables))
+_program_query("x7_calls", _values("file_id, caller, callee", *(f"('a.py', '{a}', '{b}')" for a, b in (("area", "helper"), ("area", "sqrt"), ("run", "Shape"), ("run", "area"), ("run", "finish"), ("run", "print"), ("run", "range")))))(lambda spark, p: p.call_rel)
 
 
-@_program_query("x12_all_entities")
+@_program_query("x12_all_entities", _values("file_id, functions, classes, methods, variables, imports", "('a.py', 'area,finish,helper,run', 'Shape', 'area,helper', 'LIMIT,SCALE', 'math,os,sys')", "('broken.py', '', '', '', '', '')", "('empty.py', '', '', '', '', '')"))
 def x12(spark, p):
     from factgrid.sources import syntax
 
-    return syntax.all_entities(p.facts)
+    return _joined(syntax.all_entities(p.facts))
 
 
-@_program_query("x13_module_calls")
+@_program_query("x13_module_calls", _values("file_id, callee", "('a.py', 'run')"))
 def x13(spark, p):
     from factgrid.sources import syntax
 
     return syntax.module_calls(p.facts)
 
 
-@_program_query("k7_graph_json")
-def k7(spark, p):
+@_query("k7_graph_json")
+def k7(spark, sf_dir):
+    from factgrid.plans.analysis import program
     from factgrid.sinks import export
 
+    p = program(sources(spark))
     return export.graph_json(p.nodes, p.edges)
 
 
@@ -663,9 +769,36 @@ def s8(spark, sf_dir):
     return _responses(spark).select("file_id", "run_id", "content", F.size("reasoning_steps").alias("steps"))
 
 
-@_query("c1_claims")
+_JSON, _NONE = """'{"source":"json"}'""", "'{}'"
+_FUNCTION, _CLASS, _FROM_JSON = """'{"entity_type":"function"}'""", """'{"entity_type":"class"}'""", """'{"entity_type":"function","source":"json"}'"""
+#: run, ord, text, type, subject, object, predicate, confidence, metadata; result, confidence of the verdict, reason.
+_JUDGED = f"""j AS (SELECT 'a.py' AS file_id, * FROM (VALUES
+('json', 0, 'Function run exists', 'existence', 'run', NULL, 'exists', 1.0::DOUBLE, {_FROM_JSON}, 'valid', 1.0::DOUBLE, 'exists: run'),
+('json', 1, 'run calls area', 'call', 'run', 'area', 'calls', 1.0, {_JSON}, 'valid', 1.0, 'direct call run -> area'),
+('json', 2, 'run calls finish', 'call', 'run', 'finish', 'calls', 1.0, {_JSON}, 'valid', 1.0, 'direct call run -> finish'),
+('json', 3, 'run calls missing', 'call', 'run', 'missing', 'calls', 1.0, {_JSON}, 'hallucination', 0.8, 'unknown callee missing'),
+('json', 4, 'Function ghost exists', 'existence', 'ghost', NULL, 'exists', 1.0, {_FROM_JSON}, 'hallucination', 0.9, 'nothing is called ghost'),
+('mock', 0, 'çağırıyor: Shape, area', 'call', 'shape', 'area', 'calls', 0.9, {_NONE}, 'unverifiable', 0.3, 'unknown caller shape'),
+('mock', 2, 'ÇAĞIRIYOR: run, area', 'call', 'run', 'area', 'calls', 0.9, {_NONE}, 'valid', 1.0, 'direct call run -> area'),
+('mock', 3, 'ÇAĞIRIYOR: area, finish', 'call', 'area', 'finish', 'calls', 0.9, {_NONE}, 'hallucination', 0.9, 'no call area -> finish'),
+('mock', 4, 'FONKSIYON: helper' || chr(10) || 'ÇAĞIRIYOR: run', 'call', 'helper', 'run', 'calls', 0.9, {_NONE}, 'hallucination', 0.9, 'no call helper -> run'),
+('mock', 6, 'FONKSIYON: finish' || chr(10) || 'ÇAĞIRIYOR: run', 'call', 'finish', 'run', 'calls', 0.9, {_NONE}, 'hallucination', 0.9, 'no call finish -> run'),
+('mock', 8, 'helper calls area', 'call', 'helper', 'area', 'calls', 0.95, {_NONE}, 'hallucination', 0.9, 'no call helper -> area'),
+('mock', 9, 'helper calls finish', 'call', 'helper', 'finish', 'calls', 0.95, {_NONE}, 'hallucination', 0.9, 'no call helper -> finish'),
+('mock', 13, 'run calls finish', 'call', 'run', 'finish', 'calls', 0.95, {_NONE}, 'valid', 1.0, 'direct call run -> finish'),
+('mock', 16, 'Shape sınıfı tanımlanmış', 'existence', 'shape', NULL, 'exists', 0.85, {_CLASS}, 'valid', 1.0, 'exists: Shape'),
+('mock', 17, 'FONKSIYON: area', 'existence', 'area', NULL, 'exists', 0.85, {_FUNCTION}, 'valid', 1.0, 'exists: area'),
+('mock', 18, 'FONKSIYON: helper', 'existence', 'helper', NULL, 'exists', 0.85, {_FUNCTION}, 'valid', 1.0, 'exists: helper'),
+('mock', 19, 'FONKSIYON: run', 'existence', 'run', NULL, 'exists', 0.85, {_FUNCTION}, 'valid', 1.0, 'exists: run'),
+('mock', 20, 'FONKSIYON: finish', 'existence', 'finish', NULL, 'exists', 0.85, {_FUNCTION}, 'valid', 1.0, 'exists: finish'),
+('mock', 25, 'Shape has method area', 'attribute', 'shape', 'area', 'has_method', 0.9, {_NONE}, 'valid', 1.0, 'has method shape -> area'),
+('mock', 26, 'Shape has method helper', 'attribute', 'shape', 'helper', 'has_method', 0.9, {_NONE}, 'valid', 1.0, 'has method shape -> helper')
+) v(run_id, ord, text, claim_type, subject, object, predicate, confidence, metadata, result, verdict_confidence, reason))"""
+
+
+@_query("c1_claims", f"WITH {_JUDGED} SELECT file_id, run_id, CAST(ord AS BIGINT) AS ord, text, claim_type, subject, object, predicate, confidence, 0 AS source_step, metadata FROM j")
 def c1(spark, sf_dir):
-    return claims.extracted(_responses(spark))
+    return claims.extracted(_responses(spark)).withColumn("metadata", F.to_json("metadata"))
 
 
 @_query("c14_mock_steps")
@@ -673,7 +806,7 @@ def c14(spark, sf_dir):
     return claims.reasoning_steps(_responses(spark), mock=True)
 
 
-@_query("v1_verdicts")
+@_query("v1_verdicts", f"WITH {_JUDGED} SELECT file_id, run_id, CAST(ord AS BIGINT) AS ord, claim_type, subject, object, result, verdict_confidence, reason FROM j")
 def v1(spark, sf_dir):
     from factgrid.plans.analysis import analyse
 
@@ -689,7 +822,7 @@ def k9(spark, sf_dir):
     return export.api_json(done.truth, done.claimed, done.comparison, done.scores, RUN)
 
 
-@_query("s4_requests")
+@_query("s4_requests", _values("file_id, use_llm, provider, lines", "('1', FALSE, 'gemini', 2)"))
 def s4(spark, sf_dir):
     from factgrid.sources.files import code_info, read_requests
 
@@ -705,7 +838,7 @@ def s11(spark, sf_dir):
     return prompts(sources(spark), "openai", F.lit("review")).select("file_id", "prompt")
 
 
-@_query("k3_report_rows")
+@_query("k3_report_rows", f"WITH {_JUDGED} SELECT file_id, run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY ord) AS INT) AS place, text, claim_type, result, verdict_confidence, reason FROM j")
 def k3(spark, sf_dir):
     from factgrid.plans.analysis import analyse
     from factgrid.sinks.report import numbered

@@ -48,3 +48,18 @@ def test_statistics_name_every_type(spark):
     df = spark.createDataFrame([("f", "r", "call")], "file_id string, run_id string, claim_type string")
     assert {r["claim_type"]: r["n"] for r in claims.statistics(df).collect()} == {"call": 1, "data_flow": 0, "existence": 0, "attribute": 0, "relationship": 0, "unknown": 0}
     assert df.select(claims.entity_type(F.lit("bu sınıf"))).first()[0] == "class"
+
+
+def test_groups_of_a_match_are_those_of_the_text(spark):
+    said = "a1 fonksiyonu b1 çağırır. x2 içinde y2 çağrıldı; in f3, g3 is called and h4 calls i4, j5 -> k5→l5\nFONKSIYON: m6\nÇAĞIRIYOR: n6, o6\np7 depends on q7 x8 y8 tarafından hesaplanır r9 sınıfının s9 metodu var t10 contains u10 method of class v10\nthere is a function called w11 exists"
+    df = spark.createDataFrame([(said,), (said.upper(),), ("",), (None,)], "text string")
+    n = 0
+    for _, _, _, patterns in claims.FAMILIES:
+        for pattern in patterns:
+            two = 2 if patterns is not claims.EXISTENCE_PATTERNS else 1
+            rx = F.lit(claims.FLAGS + pattern)
+            got = F.transform(F.regexp_extract_all("text", rx, F.lit(0)), claims._groups(pattern, two))
+            for r in df.select(got.alias("got"), *(F.regexp_extract_all("text", rx, F.lit(g)).alias(f"g{g}") for g in range(two + 1))).collect():
+                assert [tuple(x) for x in r["got"] or []] == [*zip(*(r[f"g{g}"] or [] for g in range(two + 1)), strict=True)], pattern
+                n += len(r["got"] or [])
+    assert n > 20

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["a1_hallucination_rate", "a5_claim_type_breakdown", "a7_chain_coherence", "a12_scores", "v11_set_comparison", "c13_segments", "c4_phrase_claims", "c2_json_claims", "q12_statistics", "m9_charset_similarity", "k11_node_colours"]
+CHECKED = ["a1_hallucination_rate", "a5_claim_type_breakdown", "a7_chain_coherence", "a12_scores", "v11_set_comparison", "c13_segments", "c4_phrase_claims", "c2_json_claims", "q12_statistics", "m9_charset_similarity", "k11_node_colours", "m3_cascade", "q3_find_path", "q2_path_answers", "q3_path_answers", "v1_rules", "v1_verdicts", "c1_claims", "x2_functions", "c4_call_sentences", "c5_data_flow_sentences", "c6_existence_sentences", "c7_attribute_sentences"]
 
 
 def plain(v):
