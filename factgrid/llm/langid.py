@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Models are fitted on a bounded sample of labelled documents: whole texts, chosen by a hash of doc_id so that each language
-gives about SAMPLE_CHARS characters (the documented bound). Four fifths of a language's sample train its model; the rest
+gives about SAMPLE_CHARS characters, and at least one text (the documented bound). With many languages the share of each is
+smaller, so that the models, whose size grows with the square of their number, keep to MAX_MODEL_BYTES, which is checked. Four fifths of a language's sample train its model; the rest
 calibrates. A model of order 5 has, for each order, the n-grams of any language as a sorted array of 64-bit hashes, and
 beside it a row of log probabilities, one for each language; contexts have their interpolation weights likewise. A text's
 distinct n-grams are looked up with their counts; those that no language has seen fall to the next lower order.
@@ -28,7 +29,8 @@ from factgrid.llm.common import crc32_of_id, only, schema
 
 ORDER = 5
 SAMPLE_CHARS = 1_000_000
-MAX_LANGUAGES = 200
+#: The models are broadcast: a row of languages for each n-gram of any of them.
+MAX_MODEL_BYTES = 384 << 20
 ALPHA = 0.005
 UNKNOWN = "und"
 #: Characters that any model allows for, seen or not.
@@ -137,6 +139,11 @@ class Models:
             self._interpolated(ORDER, chars.ravel(), np.arange(len(chars)) * ORDER + ORDER - 1, self.p[-1])
         self.temperature, self.limits = 1.0, np.full(n, np.inf)
 
+    @staticmethod
+    def bytes_for(models: list[list[dict[str, np.ndarray]]]) -> int:
+        """What the models' arrays take at most: a row of all languages for each n-gram and each context, and its hash."""
+        return sum((len(m[k]["grams"]) + len(m[k]["contexts"])) * (4 * len(models) + 16) for m in models for k in range(ORDER))
+
     def _log_p(self, k: int, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probabilities of the characters at ends after the k - 1 before them, for each language."""
         if k == 0:
@@ -168,7 +175,7 @@ class Models:
         return -total / max(1, n), n
 
     def posterior(self, entropy: np.ndarray, n: int) -> np.ndarray:
-        z = -entropy * min(n, 400) / self.temperature
+        z = -entropy * np.sqrt(n) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -184,7 +191,7 @@ class Models:
         known = {x: i for i, x in enumerate(self.languages)}
         seen = [(known[x], *self.entropies(t)) for x, t in texts if any(map(str.isalpha, t))]
         best: list[tuple[float, float]] = []
-        for temperature in (1, 2, 4, 8, 16, 32, 64, 128):
+        for temperature in (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4):
             self.temperature = float(temperature)
             best.append((-sum(np.log(max(1e-9, self.posterior(e, n)[i])) for i, e, n in seen), self.temperature))
         self.temperature = min(best)[1]
@@ -193,15 +200,17 @@ class Models:
                 self.limits[i] = float(np.quantile(own, 1 - ALPHA)) * 1.02
 
 
-def learnt(texts: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
-    """texts: doc_id, text, lang. The sample of about sample_chars characters a language comes to the driver: that is its bound."""
+def learnt(texts: DataFrame, sample_chars: int = SAMPLE_CHARS, max_bytes: int = MAX_MODEL_BYTES) -> Models:
+    """texts: doc_id, text, lang. The sample comes to the driver: about sample_chars characters a language and no more than max_bytes / 32 in all, beside one text of each."""
+    spark = texts.sparkSession
     texts = texts.where("text is not null and lang is not null")
-    sizes = texts.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGUAGES).collect()
-    share: Column = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_chars / max(1, r["chars"])))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = texts.where(draw < share).select("lang", "doc_id", "text").orderBy("lang", "doc_id", "text").collect()
+    sizes = texts.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.min(draw).alias("least")).collect()  # a row for each language
+    each = min(sample_chars, max_bytes // (32 * max(1, len(sizes))))
+    rows = [(r["lang"], min(1.0, each / max(1, r["chars"])), r["least"]) for r in sizes]
+    shares = F.broadcast(spark.createDataFrame(rows, schema("lang string, share double, least double")))
+    drawn = texts.withColumn("draw", draw).join(shares, "lang").where((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least")))
+    sample = drawn.select("lang", "doc_id", "text").orderBy("lang", "doc_id", "text").collect()
     train: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
     for k, r in enumerate(sample):
@@ -212,9 +221,16 @@ def learnt(texts: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Models:
         else:
             held.append((r["lang"], r["text"]))
     languages = sorted(train)
-    models = Models(languages, [fitted(train[x]) for x in languages]) if languages else Models([], [])
-    if languages:
-        models.calibrate(held)
+    if not languages:
+        return Models([], [])
+    while True:
+        parts = [fitted(train[x]) for x in languages]
+        if Models.bytes_for(parts) <= max_bytes:
+            break
+        # half of each language's sample goes: whole texts, and where one is left, its second half
+        train = {x: t[: len(t) // 2] if len(t) > 1 else [t[0][: max(1, len(t[0]) // 2)]] for x, t in train.items()}
+    models = Models(languages, parts)
+    models.calibrate(held)
     return models
 
 
@@ -230,7 +246,7 @@ def _predicted(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def identified(documents: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each document, by its whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(models)  # its size is bounded by the sample
+    shared = documents.sparkSession.sparkContext.broadcast(models)  # MAX_MODEL_BYTES
     return only(documents, doc_id="long", text="string").mapInArrow(_predicted(shared), schema("doc_id long, lang_pred string, score double, rejected boolean"))
 
 

@@ -8,10 +8,11 @@ packed by ISLANDS populations, each a row of its own and so a task's work wherev
 * crossover injects a stretch of the other parent's best-filled bins whole, removes the bins that hold duplicates of
   their pieces, and best-fits the displaced pieces; mutation empties a few of the worst-filled bins and best-fits them;
 * fitness is the mean of (fill / capacity) squared; a population stops at the lower bound, which no packing can beat;
-* after an epoch each island sends its elite to the next island of its district, where it replaces the worst individual.
+* after an epoch each island sends its elite to the next island of its district, where it replaces the worst individual; the
+  rest of an island's population lives on.
 
-Then bins that are not nearly full give their pieces back, and these are dealt and packed again, over districts, until a
-round saves nothing or one district holds them all. What moves between tasks is lengths and groupings, never texts or ids.
+Then bins that are not nearly full give their pieces back, and these are dealt anew and packed again, over districts, until
+a round saves no bin or one district holds them all. Where best fit alone reaches the lower bound nothing evolves. What moves between tasks is lengths and groupings, never texts or ids.
 Every round is written to the shared folder, so a lost executor costs a task.
 
 Nulls: a null text is empty: one end id. Rows with a null or repeated doc_id are packed like others, a row each. Empty
@@ -37,7 +38,6 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 6
-ROUNDS = 4
 
 
 def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -131,32 +131,34 @@ def _mutated(a: list[list[int]], lengths: list[int], capacity: int, rng) -> list
     return _best_fit(lengths, loose, ranked[n:], capacity)
 
 
-def evolved(lengths: list[int], elite: list[list[int]] | None, capacity: int, seed: int) -> list[list[int]]:
-    """The best grouping that an epoch of one island finds; elite: the migrant, or None in the first epoch."""
+def evolved(lengths: list[int], people: list[list[list[int]]] | None, migrant: list[list[int]] | None, capacity: int, seed: int) -> list[list[list[int]]]:
+    """An island's population after an epoch, the best grouping first. people: that of the epoch before, best first, None in the first epoch; migrant: the neighbour's elite."""
     bound = -(-sum(lengths) // capacity)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    first = _best_fit(lengths, order, [], capacity)
-    if elite is not None and len(elite) <= bound:
-        return elite
-    if len(first) <= bound or len(lengths) < 3:
-        return first
     rng = np.random.default_rng(seed)
-    people = [first, *([elite] if elite else [])]
-    while len(people) < POPULATION:
-        noise = rng.normal(1, 0.03 * len(people), len(lengths))
-        people.append(_best_fit(lengths, sorted(order, key=lambda i: -lengths[i] * noise[i]), [], capacity))
+    if people is None:
+        people = [_best_fit(lengths, order, [], capacity)]
+        if len(people[0]) <= bound or len(lengths) < 3:
+            return people
+        while len(people) < POPULATION:
+            noise = rng.normal(1, 0.03 * len(people), len(lengths))
+            people.append(_best_fit(lengths, sorted(order, key=lambda i: -lengths[i] * noise[i]), [], capacity))
+    elif migrant is not None:
+        people = [*people[: POPULATION - 1], migrant]
     score = lambda x: _fitness(lengths, x, capacity)
     ranked = sorted(((score(x), k, x) for k, x in enumerate(people)), key=lambda x: x[:2])
+    if len(lengths) < 3:
+        return [ranked[0][2]]
     for g in range(GENERATIONS):
         if ranked[0][0][0] <= bound:
             break
         half = [x for _, _, x in ranked[: POPULATION // 2]]
         born = []
         for k in range(POPULATION - len(half)):
-            i, j = rng.choice(len(half), 2, replace=False)
+            i, j = rng.choice(len(half), 2, replace=len(half) < 2)
             born.append(_mutated(_crossed(half[i], half[j], lengths, capacity, rng), lengths, capacity, rng))
         ranked = sorted(((score(x), 1000 * g + k, x) for k, x in enumerate([*half, *born])), key=lambda x: x[:2])
-    return ranked[0][2]
+    return [x for _, _, x in ranked]
 
 
 def _coded(bins: list[list[int]], n: int) -> bytes:
@@ -177,11 +179,13 @@ def _islands(capacity: int, epoch: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for district, island, raw, elite in zip(*(batch.column(c).to_pylist() for c in ("district", "island", "lengths", "elite")), strict=True):
+            for district, island, raw, people, migrant in zip(*(batch.column(c).to_pylist() for c in ("district", "island", "lengths", "people", "migrant")), strict=True):
                 lengths = np.frombuffer(raw, dtype=np.int32).tolist()
-                best = evolved(lengths, _decoded(elite) if elite else None, capacity, seed=1 + 7919 * int(district) + 104729 * island + 15485863 * epoch)
-                out.append((_coded(best, len(lengths)), len(best), _fitness(lengths, best, capacity)[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("district"), batch.column("island"), batch.column("lengths"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["district", "island", "lengths", "elite", "bins", "fit"])
+                seed = 1 + 7919 * int(district) + 104729 * island + 15485863 * epoch
+                grown = evolved(lengths, [_decoded(x) for x in people] if people else None, _decoded(migrant) if migrant else None, capacity, seed)
+                out.append(([_coded(x, len(lengths)) for x in grown], len(grown[0]), _fitness(lengths, grown[0], capacity)[1]))
+            columns = [pa.array([x[0] for x in out], pa.list_(pa.binary())), pa.array([x[0][0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("district"), batch.column("island"), batch.column("lengths"), *columns], names=["district", "island", "lengths", "people", "elite", "bins", "fit"])
 
     return run
 
@@ -212,17 +216,17 @@ def _assigned(capacity: int, last: bool) -> Callable[[pa.Table, pa.Table], pa.Ta
     return run
 
 
-def _round(pieces: DataFrame, n: int, capacity: int, last: bool, scope: str) -> DataFrame:
+def _round(pieces: DataFrame, n: int, k: int, capacity: int, last: bool, scope: str) -> DataFrame:
     """pieces: row, length. Returns row, length, district, bin, offset, loose."""
     districts = max(1, round(n / DISTRICT))
-    dealt = stored(pieces.withColumn("district", F.pmod(F.xxhash64("row"), F.lit(districts)).cast("long")).select("row", "length", "district"), "dealt", scope)
+    dealt = stored(pieces.withColumn("district", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(districts)).cast("long")).select("row", "length", "district"), "dealt", scope)
     packed = dealt.groupBy("district").applyInArrow(_lengths, schema("district long, lengths binary"))
-    state = packed.select("district", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), "lengths", F.lit(None).cast("binary").alias("elite"))
-    kind = schema("district long, island int, lengths binary, elite binary, bins long, fit double")
+    state = packed.select("district", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("migrant"))
+    kind = schema("district long, island int, lengths binary, people array<binary>, elite binary, bins long, fit double")
     for epoch in range(EPOCHS):
         grown = stored(state.repartition(max(1, min(districts * ISLANDS, 4096)), "district", "island").mapInArrow(_islands(capacity, epoch), kind), f"islands{epoch}", scope)
-        elite = grown.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "elite")
-        state = grown.select("district", "island", "lengths").join(elite, ["district", "island"])
+        elite = grown.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("migrant"))
+        state = grown.select("district", "island", "lengths", "people").join(elite, ["district", "island"])
     best = grown.groupBy("district").agg(F.min_by("elite", F.struct("bins", "fit", "island")).alias("elite"))
     kind = schema("row long, length long, district long, bin int, offset long, loose boolean")
     out = dealt.groupBy("district").cogroup(best.groupBy("district")).applyInArrow(_assigned(capacity, last), kind)
@@ -233,16 +237,18 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, scope: str = "query") ->
     """pieces (length, others) with sequence_id and offset: as few sequences of at most capacity as it can."""
     named = stored(pieces.withColumn("_fg_row", F.monotonically_increasing_id()), "rows", scope)
     rest = named.where(F.col("length") < capacity).select(F.col("_fg_row").alias("row"), "length")
-    done = []
-    n = rest.count()
-    for k in range(ROUNDS):
-        if not n:
-            break
-        last = k == ROUNDS - 1 or n <= DISTRICT
-        out = _round(rest, n, capacity, last, scope)
+    done: list[DataFrame] = []
+    n, before = rest.count(), None
+    while n:
+        k = len(done)
+        out = _round(rest, n, k, capacity, n <= DISTRICT, scope)
+        bins = out.groupBy("district").agg(F.count_distinct("bin").alias("all"), F.count_distinct(F.when(F.col("loose"), F.col("bin"))).alias("loose")).agg(F.sum("all"), F.sum("loose")).first()
+        saved = before is None or bins[0] < before
         ids = F.col("bin").cast("long") + F.lit(1 << 20) * (F.col("district") + F.lit(1) + (k << 32))
-        done.append(out.where(~F.col("loose")).select("row", ids.alias("sequence_id"), "offset"))
-        rest = out.where("loose").select("row", "length")
+        done.append((out.where(~F.col("loose")) if saved else out).select("row", ids.alias("sequence_id"), "offset"))
+        if not saved:
+            break
+        rest, before = out.where("loose").select("row", "length"), bins[1]
         n = rest.count()
     full = named.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("_fg_row")).withColumn("offset", F.lit(0).cast("long")).drop("_fg_row")
     if not done:

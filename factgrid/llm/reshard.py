@@ -11,8 +11,8 @@ Only shards that lose or gain a block are written anew (`rewrite`), in files of
 shard and block. slot numbers a shard's rows from 0: blocks have their offsets from the plan, rows are numbered in blocks.
 
 Nulls: a null text has size OVERHEAD and the crc of nothing; a null old shard is a shard of its own; null doc_ids are
-placed like others. Rows that repeat are placed one by one. An empty table gives an empty result. More old shards than
-MAX_OLD are folded by a hash. Other columns pass through `rewrite`, whatever their names; work columns start with `_fg_`.
+placed like others. Rows that repeat, and equal texts, are placed one by one: this law keeps no groups together. An empty
+table gives an empty result. Names of old shards beyond MAX_OLD are folded by a hash; what moves is then counted by them. Other columns pass through `rewrite`, whatever their names; work columns start with `_fg_`.
 """
 
 from __future__ import annotations
@@ -149,13 +149,13 @@ def size_of(text: Column) -> Column:
 
 
 def resharded(documents: DataFrame, old: Column, n_new: int = SHARDS) -> DataFrame:
-    """documents with _fg_size, _fg_old (index of the old shard), _fg_block, _fg_shard and _fg_offset (rows of the shard before the block)."""
+    """documents with _fg_size, _fg_old (index of the old shard), _fg_block, _fg_shard, _fg_offset (rows of the shard before the block) and _fg_touched (the shard loses or gains a block)."""
     key = old.cast("string")
     sized = documents.withColumn("_fg_size", size_of(F.col("text"))).withColumn("_fg_key", key)
     n_keys = sized.select(F.approx_count_distinct("_fg_key").alias("n")).first()["n"]
-    if n_keys > MAX_OLD // 2:
-        sized = sized.withColumn("_fg_key", F.pmod(F.xxhash64("_fg_key"), F.lit(MAX_OLD)).cast("string"))
-    olds = sized.groupBy("_fg_key").agg(F.sum("_fg_size").alias("size")).collect()  # MAX_OLD rows at most
+    if n_keys > MAX_OLD:
+        sized = sized.withColumn("_fg_key", F.when(F.col("_fg_key").isNotNull(), F.pmod(F.xxhash64("_fg_key"), F.lit(MAX_OLD)).cast("string")))
+    olds = sized.groupBy("_fg_key").agg(F.sum("_fg_size").alias("size")).collect()  # about MAX_OLD rows and one at most
     olds = sorted(olds, key=lambda r: (r["_fg_key"] is not None, len(r["_fg_key"] or ""), r["_fg_key"] or ""))
     total = sum(r["size"] for r in olds) or 1
     parts = [(r["_fg_key"], i, max(1, round(BLOCKS * r["size"] / total))) for i, r in enumerate(olds)]
@@ -168,11 +168,12 @@ def resharded(documents: DataFrame, old: Column, n_new: int = SHARDS) -> DataFra
     blocks = sorted((r["_fg_old"], r["_fg_block"], r["size"], r["n"]) for r in sizes)
     shard = planned(blocks, len(olds), n_new)
     rows, before = [], [0] * n_new
+    touched = {j for i, b, _, _ in blocks for j in (i, shard[i, b]) if shard[i, b] != i}
     for i, b, size, n in blocks:
         j = shard[i, b]
-        rows.append((i, b, j, before[j]))
+        rows.append((i, b, j, before[j], j in touched))
         before[j] += n
-    plan = F.broadcast(spark.createDataFrame(rows, schema("_fg_o int, _fg_b int, _fg_shard int, _fg_offset long")))
+    plan = F.broadcast(spark.createDataFrame(rows, schema("_fg_o int, _fg_b int, _fg_shard int, _fg_offset long, _fg_touched boolean")))
     return blocked.join(plan, (F.col("_fg_old") == F.col("_fg_o")) & (F.col("_fg_block") == F.col("_fg_b"))).drop("_fg_o", "_fg_b")
 
 
@@ -183,18 +184,32 @@ def rewrite(placed: DataFrame, path: str, total_bytes: int) -> None:
     spread.repartition(F.col("_fg_shard"), F.col("_fg_part")).drop("_fg_part").write.partitionBy("_fg_shard").option("compression", "zstd").parquet(path)
 
 
+def moved_bytes(placed: DataFrame) -> DataFrame:
+    """moved, total, least: bytes that change their shard, all bytes, and the fewest that any plan with equal capacities moves (the flow's cost)."""
+    sizes = placed.groupBy("_fg_old").agg(F.sum("_fg_size").alias("size")).collect()  # a row for each old shard
+    n_new = (placed.agg(F.max("_fg_shard").alias("n")).first()["n"] or 0) + 1
+    old = [0] * (max((r["_fg_old"] for r in sizes), default=-1) + 1)
+    for r in sizes:
+        old[r["_fg_old"]] = r["size"]
+    total = sum(old)
+    least = total - sum(min(size, total // n_new + (j < total % n_new)) for j, size in enumerate(old[:n_new]))
+    return placed.agg(F.sum(F.when(F.col("_fg_old") != F.col("_fg_shard"), F.col("_fg_size")).otherwise(0)).alias("moved"), F.sum("_fg_size").alias("total")).withColumn("least", F.lit(least))
+
+
 def sharded(documents: DataFrame, old: str = "source") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: read back from the rewritten files."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard: rows of the shards that lose or gain a block are read back from the rewritten files, the others stay where they are."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{old}`").cast("string").alias("_fg_from"))
     placed = resharded(docs, F.col("_fg_from"))
     total = docs.agg(F.sum(size_of(F.col("text"))).alias("n")).first()["n"] or 0
     path = f"{work_dir(spark)}/shards-{uuid.uuid4().hex}"
-    rewrite(placed, path, total)
+    rewrite(placed.where("_fg_touched").drop("_fg_touched"), path, total)
     rows = spark.read.schema(schema("doc_id long, text string, _fg_from string, _fg_size long, _fg_old int, _fg_block int, _fg_offset long, _fg_shard int")).parquet(path)
+    if placed.where("not _fg_touched").limit(1).count():
+        rows = rows.unionByName(placed.where("not _fg_touched").select(*rows.columns))
     rows = rows.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).withColumn("size", size_of(F.col("text"))).drop("text")
     order = Window.partitionBy("_fg_old", "_fg_block").orderBy("doc_id", "text_crc32", "size")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_fg_shard").alias("shard"),
-        (F.col("_fg_offset") + F.row_number().over(order) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("_fg_offset") + F.row_number().over(order) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_fg_old").alias("old_shard"),
     )

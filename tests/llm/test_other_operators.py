@@ -108,3 +108,42 @@ def test_tables_of_a_restaurant():
     customers = pitman_yor.np.array([0, 1, 2, 50, 5000] * 200, dtype=float)
     few, many = (pitman_yor.seated(customers, pitman_yor.np.full(1000, a), 0.75, rng) for a in (1e-9, 1e9))
     assert (few == pitman_yor.np.minimum(customers, 1)).all() and (many >= customers * 0.99).all() and prose(random.Random(1), 3)
+
+
+def test_little_moves_and_untouched_shards_stay(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, "x" * rng.randint(100, 900), f"s{k % 50}") for k in range(4000)], "doc_id long, text string, source string")
+    placed = reshard.resharded(df, F.col("source"))
+    m = reshard.moved_bytes(placed).first()
+    assert m["least"] <= m["moved"] <= m["least"] + 0.08 * m["total"] and m["moved"] < 0.5 * m["total"]
+    same = spark.createDataFrame([(k, "x" * 100, f"s{k:02d}") for k in range(40)], "doc_id long, text string, source string")
+    assert reshard.resharded(same, F.col("source")).where("_fg_touched").count() == 0
+    got = reshard.sharded(same).toPandas()
+    assert sorted(got["shard"]) == list(range(40)) and (got["shard"] == got["old_shard"]).all() and (got.slot == 0).all()
+
+
+def test_many_old_shards_and_null(spark, monkeypatch):
+    monkeypatch.setattr(reshard, "MAX_OLD", 8)
+    df = spark.createDataFrame([(k, "x" * 50, f"s{k}" if k % 5 else None) for k in range(300)], "doc_id long, text string, source string")
+    placed = reshard.resharded(df, F.col("source"))
+    of_null = {r["_fg_old"] for r in placed.where("source is null").collect()}
+    assert len(of_null) == 1 and not of_null & {r["_fg_old"] for r in placed.where("source is not null").collect()}
+    got = reshard.sharded(df).toPandas()
+    assert sorted(got.doc_id) == list(range(300)) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_many_languages_keep_to_the_bytes(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {x: ["".join(rng.choices(rng.sample(letters, 6), k=rng.randint(3, 8))) for _ in range(40)] for x in range(230)}
+    rows = [(10 * x + k, " ".join(rng.choices(words[x], k=60)), f"l{x:03d}") for x in words for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    def size(m):
+        return sum(x.nbytes for a in (m.gamma, m.p) for x in a) + sum(h.keys.nbytes for a in (m.contexts, m.grams) for h in a)
+
+    models = langid.learnt(df)
+    assert len(models.languages) == 230 and size(models) <= langid.MAX_MODEL_BYTES
+    assert sum(models.predict(t)[0] == x for _, t, x in rows) > 0.95 * len(rows)
+    assert models.predict(" ".join(rng.choices(words[7], k=50_000)))[0] == "l007"
+    few = langid.learnt(df, max_bytes=80 << 20)  # a sample so small learns little, but all languages and within the bytes
+    assert few.languages == models.languages and size(few) <= 80 << 20

@@ -42,7 +42,7 @@ def test_the_algorithm_beats_or_equals_best_fit_and_keeps_all():
         lengths = [rng.randint(300, 1100) for _ in range(400)]
         order = sorted(range(400), key=lambda i: -lengths[i])
         first = packing._best_fit(lengths, order, [], 2048)
-        best = packing.evolved(lengths, None, 2048, 3)
+        best = packing.evolved(lengths, None, None, 2048, 3)[0]
         assert sorted(i for b in best for i in b) == list(range(400)) and all(sum(lengths[i] for i in b) <= 2048 for b in best) and len(best) <= len(first)
     child = packing._crossed(first, best, lengths, 2048, np.random.default_rng(1))
     assert sorted(i for b in child for i in b) == list(range(400))
@@ -77,3 +77,39 @@ def test_token_files(with_nulls, rows):
     for doc_id, start, n, crc in got:
         assert start == at and any(len(x) == 4 * n and zlib.crc32(x) == crc for x in own[doc_id])
         at += n
+
+
+def test_populations_live_on_and_beat_best_fit():
+    """Pieces of which three fill a bin, where best fit decreasing pairs large ones and leaves gaps."""
+    rng = random.Random(2)
+    saved = 0
+    for case in range(6):
+        lengths = []
+        for _ in range(40):
+            a, b = rng.randint(400, 900), rng.randint(400, 700)
+            lengths += [a, b, 2048 - a - b]
+        first = len(packing._best_fit(lengths, sorted(range(120), key=lambda i: -lengths[i]), [], 2048))
+        islands = [packing.evolved(lengths, None, None, 2048, k) for k in (1, 2)]
+        for epoch in range(1, 6):
+            before = [min(packing._fitness(lengths, x, 2048) for x in own) for own in islands]
+            islands = [packing.evolved(lengths, islands[k], islands[1 - k][0], 2048, 10 * epoch + k) for k in (0, 1)]
+            assert all(packing._fitness(lengths, own[0], 2048) <= min(before) for own in islands)
+        assert all(len(own) <= packing.POPULATION and sorted(i for b in own[0] for i in b) == list(range(120)) for own in islands)
+        saved += first - min(len(own[0]) for own in islands)
+    assert saved > 0
+
+
+def test_districts_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "DISTRICT", 60)
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 2100) if k % 9 else 2048 for k in range(700)]
+    lengths = [min(x, 2048) for x in lengths]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lengths)], "k long, length long")
+    got = packing.packed(df).toPandas()
+    assert sorted(got.k) == list(range(700))
+    total = 0
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and (g.offset == g.length.cumsum() - g.length).all()
+        total += 1
+    best_fit = len(packing._best_fit(lengths, sorted(range(700), key=lambda i: -lengths[i]), [], 2048))
+    assert total <= 1.02 * best_fit
