@@ -179,8 +179,11 @@ def _islands(capacity: int, epoch: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for district, island, raw, people, migrant in zip(*(batch.column(c).to_pylist() for c in ("district", "island", "lengths", "people", "migrant")), strict=True):
+            for district, island, raw, people, migrant, fit in zip(*(batch.column(c).to_pylist() for c in ("district", "island", "lengths", "people", "migrant", "fit")), strict=True):
                 lengths = np.frombuffer(raw, dtype=np.int32).tolist()
+                if people and (bins := int(np.frombuffer(people[0], dtype=np.int32).max(initial=-1)) + 1) <= -(-sum(lengths) // capacity):
+                    out.append((people, bins, fit))  # at the lower bound: nothing is left to find
+                    continue
                 seed = 1 + 7919 * int(district) + 104729 * island + 15485863 * epoch
                 grown = evolved(lengths, [_decoded(x) for x in people] if people else None, _decoded(migrant) if migrant else None, capacity, seed)
                 out.append(([_coded(x, len(lengths)) for x in grown], len(grown[0]), _fitness(lengths, grown[0], capacity)[1]))
@@ -221,12 +224,12 @@ def _round(pieces: DataFrame, n: int, k: int, capacity: int, last: bool, scope:
     districts = max(1, round(n / DISTRICT))
     dealt = stored(pieces.withColumn("district", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(districts)).cast("long")).select("row", "length", "district"), "dealt", scope)
     packed = dealt.groupBy("district").applyInArrow(_lengths, schema("district long, lengths binary"))
-    state = packed.select("district", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("migrant"))
+    state = packed.select("district", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("people"), F.lit(None).cast("binary").alias("migrant"), F.lit(None).cast("double").alias("fit"))
     kind = schema("district long, island int, lengths binary, people array<binary>, elite binary, bins long, fit double")
     for epoch in range(EPOCHS):
         grown = stored(state.repartition(max(1, min(districts * ISLANDS, 4096)), "district", "island").mapInArrow(_islands(capacity, epoch), kind), f"islands{epoch}", scope)
         elite = grown.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("migrant"))
-        state = grown.select("district", "island", "lengths", "people").join(elite, ["district", "island"])
+        state = grown.select("district", "island", "lengths", "people", "fit").join(elite, ["district", "island"])
     best = grown.groupBy("district").agg(F.min_by("elite", F.struct("bins", "fit", "island")).alias("elite"))
     kind = schema("row long, length long, district long, bin int, offset long, loose boolean")
     out = dealt.groupBy("district").cogroup(best.groupBy("district")).applyInArrow(_assigned(capacity, last), kind)
