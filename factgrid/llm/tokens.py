@@ -28,6 +28,8 @@ _WS = "\t-\r \x85\xa0  -     　"
 _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: A stop or comma that may belong to what stands before it: no letter or digit is there.
 _BOUND_STOP = re.compile(r"[.,](?<![^\W_][.,])[ \n]")
+#: A word and the ASCII signs that end it, without the apostrophe: both vocabularies cut between the two.
+_TAILED = re.compile(r"(\x01?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: White space other than space and line feed, and the mark itself.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
 END = (0).to_bytes(4, "little")
@@ -59,6 +61,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.edge = np.array([t.endswith("</w>") if splitting == "words" else t.startswith("Ġ") for t in tokens])
+        self.line = -1 if splitting == "words" else tokens.index("Ċ")
         # plain words need no normal form and no pattern: the same model behind a splitter that knows spaces alone
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
@@ -90,27 +93,43 @@ class Encoder:
         return piece.isalpha() and (self.splitting == "bytes" or piece.isascii() or (piece == piece.lower() and unicodedata.is_normalized("NFC", piece)))
 
     def _learn(self, pieces: set[str]) -> None:
-        new = {p for p in pieces if p not in self.cache}
-        if len(self.cache) + len(new) > self.max_cached:
+        cache, words = self.cache, self.splitting == "words"
+        new = {p for p in pieces if p not in cache}
+        if len(cache) + len(new) > self.max_cached:
             self._clear()
-            new = {p for p in pieces if p not in self.cache}
-        plain = [p for p in new if self._is_plain(p)]
-        other = [*new.difference(plain)]
-        words = self.splitting == "words"
-        if other:
+            cache = self.cache
+            new = {p for p in pieces if p not in cache}
+        plain = {p for p in new if self._is_plain(p)}
+        other, tailed = set(), {}
+        for p in new - plain:
+            if (m := _TAILED.fullmatch(p)) and self._is_plain(m[1].lstrip("\x01")):
+                word, tail = tailed[p] = m[1], m[2] if words else "\x01" + m[2]
+                if word not in cache:
+                    (other if word[0] == "\x01" else plain).add(word)
+                if tail not in cache:
+                    other.add(tail)
+            else:
+                other.add(p)
+        bare = set() if words else {p for p in other if p[1:].isalpha() and p[0] == "\x01"}
+        if other := [*(other - bare)]:
             raw = other if words else [p[1:] if p[0] == "\x01" else " " + p for p in other]
             for p, x in zip(other, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(x.ids, dtype="<u4").tobytes()
-        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for group, x in zip(groups, self.plain.encode_batch_fast([("" if words else " ") + " ".join(g) for g in groups], add_special_tokens=False) if groups else (), strict=True):
-            ids = np.array(x.ids, dtype="<u4")
-            raw, at = ids.tobytes(), np.flatnonzero(self.edge[ids])
-            ends = ((at + 1) * 4 if words else np.append(at[1:], len(ids)) * 4).tolist()
-            assert len(ends) == len(group)
-            begin = 0
-            for p, end in zip(group, ends, strict=True):
-                self.cache[p] = raw[begin:end]
-                begin = end
+                cache[p] = np.array(x.ids, dtype="<u4").tobytes()
+        # words one after another: each ends with its last token, or begins with the space, or has a line feed behind it
+        for keys, first, between, after in (([*plain], "" if words else " ", " ", 0), ([*bare], "", "\n", 4)):
+            groups = [keys[i : i + _JOINED] for i in range(0, len(keys), _JOINED)]
+            lines = [first + between.join(g).replace("\x01", "") for g in groups]
+            for group, x in zip(groups, self.plain.encode_batch_fast(lines, add_special_tokens=False) if groups else (), strict=True):
+                ids = np.array(x.ids, dtype="<u4")
+                raw, at = ids.tobytes(), np.flatnonzero(ids == self.line if after else self.edge[ids])
+                ends = ((at + 1) * 4 if words else np.append(at if after else at[1:], len(ids)) * 4).tolist()
+                assert len(ends) == len(group)
+                begin = 0
+                for p, end in zip(group, ends, strict=True):
+                    cache[p] = raw[begin:end]
+                    begin = end + after
+        for p, (word, tail) in tailed.items():
+            cache[p] = cache[word] + cache[tail]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids and the end id, as little-endian unsigned 32-bit integers; new pieces of several texts are learnt at once."""
