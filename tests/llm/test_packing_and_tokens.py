@@ -20,6 +20,18 @@ def test_pieces_give_the_ids_of_the_whole(name, splitting):
         assert np.frombuffer(ids, "<u4").tolist() == [*want.ids, 0], text
 
 
+@pytest.mark.parametrize("name, splitting", [(tokens.WORD_VOCABULARY, "words"), (tokens.BYTE_VOCABULARY, "bytes")])
+def test_words_with_signs_at_their_end_and_at_the_start_of_lines(name, splitting):
+    words = ["stä&&&", "It's!!", "d'accord,,", "²x..", "½a!", "Ⅷ..", "éa!!", "ßa--", "a!\u0338", "字字##", "ab_c!", "_ab!", "K!!", "x</w>", "ab!!cd!!", "password=7e1"]
+    texts = [*words, " ".join(words), "\n".join(words), "\n".join(reversed(words)), "Ab\ncd\nEf gh\nab ab!\nab"]
+    whole = Tokenizer.from_file(tokens.public_path(name))
+    whole.encode_special_tokens = True
+    for order in (texts, texts[::-1]):
+        e = tokens.Encoder(tokens.public_path(name), splitting)
+        for text, ids, want in zip(order, e.encode_all(order), whole.encode_batch(order, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*want.ids, 0], text
+
+
 def test_sequences(with_nulls, rows):
     got = packing.sequences(with_nulls).toPandas()
     e = tokens.Encoder(tokens.public_path(tokens.WORD_VOCABULARY), "words")
