@@ -22,6 +22,13 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
+#: Settings of batches to Python workers: Spark's default, and ours. A batch is held several times at once: by the JVM, the
+#: worker, and as Python strings.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m"),
+}
+
 _scratch: dict[str, list[str]] = {}
 
 
@@ -41,6 +48,13 @@ def release(spark: SparkSession, scope: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python workers of at most 1,000 rows and 16 MB in this session, unless it has settings of its own."""
+    for key, (default, ours) in _BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 def forgotten_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no plan needs any more: it does so when the driver's JVM collects its garbage."""
     gc.collect()
