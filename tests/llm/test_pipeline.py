@@ -1,5 +1,6 @@
 import corpus_pipeline
 from factgrid.llm import decontam, jaccard
+from factgrid.llm.common import small_batches
 
 
 def test_stages_in_turn(spark, tmp_path):
@@ -22,3 +23,19 @@ def test_stages_in_turn(spark, tmp_path):
     assert seen[4] == seen[3] and {"sequence_id", "offset", "length"} <= set(table.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
     assert decontam.OVERLAP == 0.8 and jaccard.filtered.__defaults__[:2] == (5, 80)
+
+
+def test_small_batches_leave_settings_of_the_session(spark):
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    before = {key: spark.conf.get(key) for key in (rows, size)}
+    try:
+        spark.conf.unset(size)
+        spark.conf.set(rows, "77")
+        small_batches(spark)
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("77", "16m")
+        spark.conf.unset(rows)
+        small_batches(spark)
+        assert spark.conf.get(rows) == "1000"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
