@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is the result of the stage before, written as Parquet and read again,
 and returns a DataFrame; all but the last return the columns of documents. As a stage's input is written when it begins,
-a stage first deletes the scratch tables of the one before.
+a stage first deletes the scratch tables of the one before. Workers live through all stages, so batches are kept small.
 """
 
 from __future__ import annotations
@@ -12,38 +12,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from factgrid.llm import decontam, jaccard, linededup, packing, quality
-from factgrid.llm.common import release, table, work_dir
+from factgrid.llm.common import release, small_batches, table, work_dir
 
 _SCOPE = "pipeline"
 
 
+def begin(spark: SparkSession) -> None:
+    release(spark, _SCOPE)
+    small_batches(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a certified cutoff go."""
-    release(spark, _SCOPE)
+    begin(spark)
     return quality.filtered(docs, table(spark, sf_dir, "labels"), scope=_SCOPE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one of them; all documents stay."""
-    release(spark, _SCOPE)
+    begin(spark)
     return linededup.filtered(docs, scope=_SCOPE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
-    release(spark, _SCOPE)
+    begin(spark)
     return jaccard.filtered(docs, k=5, percent=80, scope=_SCOPE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    release(spark, _SCOPE)
+    begin(spark)
     return decontam.filtered(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, and their places in sequences."""
-    release(spark, _SCOPE)
+    begin(spark)
     return packing.sequences(docs, scope=_SCOPE)
 
 
