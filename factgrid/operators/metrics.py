@@ -104,8 +104,8 @@ def recommended(summary: DataFrame, types: DataFrame, keys: list[str]) -> DataFr
 
 
 def percentage(value: Column) -> Column:
-    """One decimal, halves to even."""
-    return F.format_string("%.1f%%", F.bround(value * 100, 1))
+    """One decimal, halves to even. A half is what is one as a double times ten, as for round_even in SQL; bround goes by the decimal form."""
+    return F.format_string("%.1f%%", F.rint(value * 100 * 10) / 10)
 
 
 def as_rows(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -138,7 +138,7 @@ def a10(spark, sf_dir):
 
 @_query("a11_percentage", f"WITH {_V} SELECT run_id, printf('%.1f%%', round_even(100 * round(avg(CASE WHEN {_OK} THEN 1.0::DOUBLE ELSE 0 END), 4), 1)) AS validity FROM v GROUP BY 1")
 def a11(spark, sf_dir):
-    return metrics.rates(verdicts(spark, sf_dir), RUN).select("run_id", metrics.percentage(F.round("validity_rate", 4)).alias("validity"))
+    return metrics.rates(verdicts(spark, sf_dir), RUN).select("run_id", metrics.percentage(F.round(F.col("validity_rate") * 10000) / 10000).alias("validity"))
 
 
 _V8 = f"""SELECT run_id, count(*) AS total_claims, count(*) FILTER (WHERE result = 'valid') AS valid_count, count(*) FILTER (WHERE result = 'hallucination') AS hallucination_count,
