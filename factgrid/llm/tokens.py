@@ -9,19 +9,24 @@ text are those of its pieces in order. Pieces are cut here only where the vocabu
   other characters, the same cuts hold, with a mark on pieces that have no space before them; other texts are cut by the
   vocabulary's own pattern, more coarsely.
 
-The library encodes the pieces that a worker has not seen; a cache of bounded size keeps their ids as little-endian
-unsigned 32-bit integers. It begins anew when it is full.
+Texts are cut and their pieces numbered by Arrow, many texts at once, so that Python sees a distinct piece once for all of
+them. The library encodes the pieces that a worker has not seen; a cache of bounded size keeps their ids as little-endian
+unsigned 32-bit integers. It has two halves: when the newer is full it becomes the older, and what was the older goes, without
+the pieces that were met meanwhile.
 """
 
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode white space, as the vocabulary's pattern has it.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -33,10 +38,12 @@ _TAILED = re.compile(r"(\x01?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: White space other than space and line feed, and the mark itself.
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
 END = (0).to_bytes(4, "little")
-MAX_CACHED = 600_000
+#: Pieces in both halves of the cache, by splitting. Packing keeps less, as it shares its workers with a pipeline's other stages.
+MAX_CACHED = {"words": 600_000, "bytes": 1_200_000}
 #: Plain words that are encoded in one string; where each begins or ends shows in its tokens.
 _JOINED = 64
-_TOGETHER = 32
+#: Texts that are cut together: so many at most, or as many as first have so many characters.
+_TOGETHER, _TOGETHER_CHARS = 2000, 4_000_000
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -51,13 +58,13 @@ def public_path(name: str) -> str:
 class Encoder:
     """ids of whole texts; splitting: "words" or "bytes"; path: the vocabulary's file on the machine that runs it."""
 
-    def __init__(self, path: str, splitting: str, max_cached: int = MAX_CACHED):
+    def __init__(self, path: str, splitting: str, max_cached: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.splitting, self.max_cached = splitting, max_cached
+        self.splitting, self.max_cached = splitting, max_cached or MAX_CACHED[splitting]
         size = self.tokenizer.get_vocab_size()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.edge = np.array([t.endswith("</w>") if splitting == "words" else t.startswith("Ġ") for t in tokens])
@@ -71,78 +78,112 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.cache: dict[str, bytes] = {"": b""} if self.splitting == "words" else {}
+        self.old: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """Keys of the cache. For "bytes": a key is the piece without the space before it, or \\x01 and a piece that has none."""
+    def _cut(self, text: str) -> str | None:
+        """The text with one space between pieces, or None if only the vocabulary's pattern cuts it."""
         if self.splitting == "words":
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
             if not _BOUND_STOP.search(text):
                 text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
-            return text.replace("\n", " ").split(" ")
-        if not text:
-            return []
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _ODD_SPACE.search(text):
-            return ["\x01" + p for p in _COARSE.findall(text)]
+            return text.replace("\n", " ")
+        if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _ODD_SPACE.search(text):
+            return None
         if not _BOUND_STOP.search(text):
             text = text.replace(". ", " \x01. ").replace(", ", " \x01, ").replace(".\n", " \x01.\n").replace(",\n", " \x01,\n")
-        return ("\x01" + text.replace("\n", " \x01\n \x01")).split(" ")
+        return "\x01" + text.replace("\n", " \x01\n \x01")
+
+    def pieces(self, text: str) -> list[str]:
+        """Keys of the cache. For "bytes": a key is the piece without the space before it, or \\x01 and a piece that has none."""
+        cut = self._cut(text)
+        return ["\x01" + p for p in _COARSE.findall(text)] if cut is None else cut.split(" ")
 
     def _is_plain(self, piece: str) -> bool:
         """Letters alone, which the vocabulary's normal form and splitting leave as they are."""
         return piece.isalpha() and (self.splitting == "bytes" or piece.isascii() or (piece == piece.lower() and unicodedata.is_normalized("NFC", piece)))
 
-    def _learn(self, pieces: set[str]) -> None:
-        cache, words = self.cache, self.splitting == "words"
-        new = {p for p in pieces if p not in cache}
-        if len(cache) + len(new) > self.max_cached:
-            self._clear()
-            cache = self.cache
-            new = {p for p in pieces if p not in cache}
-        plain = {p for p in new if self._is_plain(p)}
-        other, tailed = set(), {}
-        for p in new - plain:
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts distinct pieces that the newer half of the cache lacks into it."""
+        words, held = self.splitting == "words", [*map(self.old.get, pieces)]
+        if len(self.cache) + len(pieces) > self.max_cached // 2:
+            self.old, self.cache = self.cache, {}
+        cache = self.cache
+        cache.update((p, ids) for p, ids in zip(pieces, held) if ids is not None)
+        new = [p for p, ids in zip(pieces, held) if ids is None]
+        is_plain = [*map(self._is_plain if words else str.isalpha, new)]
+        plain, other, tailed = dict.fromkeys(itertools.compress(new, is_plain)), set(), {}
+        for p in itertools.compress(new, map(operator.not_, is_plain)):
             if (m := _TAILED.fullmatch(p)) and self._is_plain(m[1].lstrip("\x01")):
                 word, tail = tailed[p] = m[1], m[2] if words else "\x01" + m[2]
                 if word not in cache:
-                    (other if word[0] == "\x01" else plain).add(word)
+                    if word[0] == "\x01":
+                        other.add(word)
+                    else:
+                        plain[word] = None
                 if tail not in cache:
                     other.add(tail)
             else:
                 other.add(p)
         bare = set() if words else {p for p in other if p[1:].isalpha() and p[0] == "\x01"}
         if other := [*(other - bare)]:
-            raw = other if words else [p[1:] if p[0] == "\x01" else " " + p for p in other]
+            raw = other if words else [p[1:] if p[:1] == "\x01" else " " + p for p in other]
             for p, x in zip(other, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
                 cache[p] = np.array(x.ids, dtype="<u4").tobytes()
         # words one after another: each ends with its last token, or begins with the space, or has a line feed behind it
-        for keys, first, between, after in (([*plain], "" if words else " ", " ", 0), ([*bare], "", "\n", 4)):
-            groups = [keys[i : i + _JOINED] for i in range(0, len(keys), _JOINED)]
-            lines = [first + between.join(g).replace("\x01", "") for g in groups]
-            for group, x in zip(groups, self.plain.encode_batch_fast(lines, add_special_tokens=False) if groups else (), strict=True):
-                ids = np.array(x.ids, dtype="<u4")
-                raw, at = ids.tobytes(), np.flatnonzero(ids == self.line if after else self.edge[ids])
-                ends = ((at + 1) * 4 if words else np.append(at if after else at[1:], len(ids)) * 4).tolist()
-                assert len(ends) == len(group)
-                begin = 0
-                for p, end in zip(group, ends, strict=True):
-                    cache[p] = raw[begin:end]
-                    begin = end + after
+        for keys, first, between, last in (([*plain], "" if words else " ", " ", ""), ([*bare], "", "\n", "\n")):
+            if not keys:
+                continue
+            lines = [first + between.join(keys[i : i + _JOINED]).replace("\x01", "") + last for i in range(0, len(keys), _JOINED)]
+            ids = np.array([*itertools.chain.from_iterable(x.ids for x in self.plain.encode_batch_fast(lines, add_special_tokens=False))], dtype="<u4")
+            at = np.flatnonzero(ids == self.line if last else self.edge[ids])
+            if last:
+                begins, ends = np.append(0, at[:-1] + 1), at
+            elif words:
+                begins, ends = np.append(0, at[:-1] + 1), at + 1
+            else:
+                begins, ends = at, np.append(at[1:], len(ids))
+            assert len(at) == len(keys)
+            raw = ids.tobytes()
+            cache.update(zip(keys, [raw[a:b] for a, b in zip((begins * 4).tolist(), (ends * 4).tolist())]))
         for p, (word, tail) in tailed.items():
             cache[p] = cache[word] + cache[tail]
 
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """ids of distinct pieces."""
+        out = [*map(self.cache.get, keys)]
+        if None in out:
+            self._learn(missing := [p for p, ids in zip(keys, out) if ids is None])
+            learnt = map(self.cache.__getitem__, missing)
+            out = [next(learnt) if ids is None else ids for ids in out]
+        return out
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        cuts = [*map(self._cut, texts)]
+        lists = pc.split_pattern(pa.array([c for c in cuts if c is not None], pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        ids = pa.array(self._ids(numbered.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(numbered.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[lists.offsets.to_numpy()] if len(ids) else np.zeros(len(lists) + 1, np.int64)
+        raw, spans = memoryview(ids.buffers()[2] or b""), itertools.pairwise(ends.tolist())
+        for text, cut in zip(texts, cuts, strict=True):
+            if cut is None:
+                pieces = self.pieces(text)
+                keys = [*dict.fromkeys(pieces)]
+                yield b"".join(map(dict(zip(keys, self._ids(keys), strict=True)).__getitem__, pieces)) + END
+            else:
+                begin, end = next(spans)
+                yield raw[begin:end].tobytes() + END
+
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """For each text its ids and the end id, as little-endian unsigned 32-bit integers; new pieces of several texts are learnt at once."""
-        texts = iter(texts)
-        while some := [self.pieces(t or "") for t in itertools.islice(texts, _TOGETHER)]:
-            get = self.cache.__getitem__
-            try:
-                out = [b"".join(map(get, p)) + END for p in some]
-            except KeyError:
-                self._learn(set().union(*some))
-                get = self.cache.__getitem__
-                out = [b"".join(map(get, p)) + END for p in some]
-            yield from out
+        """For each text its ids and the end id, as little-endian unsigned 32-bit integers."""
+        some, n = [], 0
+        for text in texts:
+            some.append(text or "")
+            n += len(some[-1])
+            if len(some) >= _TOGETHER or n >= _TOGETHER_CHARS:
+                yield from self._together(some)
+                some, n = [], 0
+        yield from self._together(some)
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
