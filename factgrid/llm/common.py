@@ -55,6 +55,11 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's allocator holds unused in a Python worker, which else adds to all that comes after."""
+    pa.default_memory_pool().release_unused()
+
+
 def forgotten_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no plan needs any more: it does so when the driver's JVM collects its garbage."""
     gc.collect()

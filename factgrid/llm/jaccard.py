@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import forgotten_shuffles, lanes, merged_in_a_tree, only, schema, stored
+from factgrid.llm.common import forgotten_shuffles, give_back, lanes, merged_in_a_tree, only, schema, stored
 
 SEGMENTS = 64
 #: Cells of the count-min sketch: one for so many shingles, within these bounds. It is broadcast as one byte a cell.
@@ -97,6 +97,7 @@ def _sketches(k: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         held, n = [], 0
         if held:
             yield ship(held)
+        give_back()
 
     return run
 
@@ -151,6 +152,7 @@ def _profiles(k: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
                 nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prefixes.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n", "node", "prefix"])
+        give_back()
 
     return run
 
@@ -215,6 +217,7 @@ def _sets(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                             for to, value in zip(out, (x[2], x[3], x[1], raw), strict=True):
                                 to.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["home", "slice", "num", "shingles"])
+        give_back()
 
     return run
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import only, schema, stored
+from factgrid.llm.common import give_back, only, schema, stored
 from factgrid.llm.tokens import WORD_VOCABULARY, encoder, public_path
 
 CAPACITY = 2048
@@ -54,6 +54,7 @@ def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     for to, x in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         to.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run

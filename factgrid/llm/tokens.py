@@ -39,7 +39,7 @@ _TAILED = re.compile(r"(\x01?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
 END = (0).to_bytes(4, "little")
 #: Pieces in both halves of the cache, by splitting. Packing keeps less, as it shares its workers with a pipeline's other stages.
-MAX_CACHED = {"words": 600_000, "bytes": 1_200_000}
+MAX_CACHED = {"words": 300_000, "bytes": 1_200_000}
 #: Plain words that are encoded in one string; where each begins or ends shows in its tokens.
 _JOINED = 64
 #: Texts that are cut together: so many at most, or as many as first have so many characters.
