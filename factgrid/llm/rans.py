@@ -1,7 +1,7 @@
 """Token ids of documents in binary files, coded by a static range asymmetric numeral system (rANS).
 
-One pass tokenizes, in ascending doc_id order, and keeps the ids in blocks of about BLOCK_TOKENS; counts of all ids of all
-documents become one shared frequency table (quantised to 2 ** SCALE, at least 1 for each id that occurs). Each block is
+One pass tokenizes, in ascending doc_id order, and keeps the ids in blocks of about BLOCK_TOKENS and how often each occurs
+there; counts of all ids of all documents become one shared frequency table (quantised to 2 ** SCALE, at least 1 for each id that occurs). Each block is
 then coded by itself: `lanes` interleaved coders of 64-bit state and 32-bit renormalisation, which advance together, token
 i on lane i % lanes. A block is a row (shard, block, payload) of a table in ascending order, with the frequency table in a
 table beside it. A payload is, little-endian:
@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgrid.llm.common import only, schema, stored, work_dir
+from factgrid.llm.common import give_back, only, schema, stored, work_dir
 from factgrid.llm.tokens import BYTE_VOCABULARY, encoder, public_path
 
 SCALE = 20
@@ -151,31 +152,45 @@ def unpacked(raw: bytes, table: Table) -> tuple[list[int | None], np.ndarray, np
 
 # ---- the operator ---------------------------------------------------------------------------------------------------
 
-_IDS = "shard int, block int, n long, doc_ids array<long>, lengths array<long>, ids binary"
+_IDS = "shard int, block int, n long, doc_ids array<long>, lengths array<long>, counts binary, ids binary"
 
 
 def _blocks(path: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard, block = encoder(path, "bytes"), TaskContext.get().partitionId(), 0
-        kind = np.uint16 if e.small else np.uint32
+        kind, names = np.uint16 if e.small else np.uint32, deque()
         docs, lengths, held, n = [], [], [], 0
 
-        def ship() -> pa.RecordBatch:
-            arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "n", "doc_ids", "lengths", "ids"])
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                if len(batch):
+                    names.append(batch.column(0))
+                    yield batch.column(1)
 
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), e.encode_all(batch.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(raw, dtype="<u4")
-                docs.append(doc_id)
-                lengths.append(len(ids))
-                held.append(ids.astype(kind).tobytes())
-                n += len(ids)
+        def ship() -> pa.RecordBatch:
+            ids = np.concatenate(held)
+            counts = np.bincount(ids).astype("<u4").tobytes()
+            arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([counts], pa.binary()), pa.array([ids.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "n", "doc_ids", "lengths", "counts", "ids"])
+
+        for ids, ends in e.encode_columns(texts()):
+            own, sizes, ids = names.popleft().to_pylist(), np.diff(ends, prepend=0).tolist(), ids.astype(kind)
+            at = done = 0  # documents and ids of this column that have their block
+            while at < len(own):
+                to = min(len(own), 1 + int(np.searchsorted(ends, done + block_tokens - n)))
+                end = int(ends[to - 1])
+                docs += own[at:to]
+                lengths += sizes[at:to]
+                held.append(ids[done:end])
+                n += end - done
+                at, done = to, end
                 if n >= block_tokens:
                     yield ship()
                     docs, lengths, held, n, block = [], [], [], 0, block + 1
         if docs:
             yield ship()
+        ids = held = None
+        give_back()
 
     return run
 
@@ -187,8 +202,9 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for n, raw in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            own = np.bincount(_ids(raw, n), minlength=len(total))
+        for raw in batch.column("counts").to_pylist():
+            own = np.frombuffer(raw, "<u4").astype(np.int64)
+            own, total = (own, total) if len(own) > len(total) else (total, own)
             own[: len(total)] += total
             total = own
     used = np.flatnonzero(total)
@@ -227,13 +243,13 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, block_
     docs = only(documents, doc_id="long", text="string")
     ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ids = stored(ordered.mapInArrow(_blocks(vocabulary or public_path(BYTE_VOCABULARY), block_tokens), schema(_IDS)), "ids", scope)
-    counts = ids.select("n", "ids").mapInArrow(_counted, schema("id int, n long")).groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as ids
+    counts = ids.select("counts").mapInArrow(_counted, schema("id int, n long")).groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as ids
     total = np.zeros(1 + max((r["id"] for r in counts), default=0), dtype=np.int64)
     for r in counts:
         total[r["id"]] = r["n"]
     freq = frequencies(total)
     spark.createDataFrame([(SCALE, freq.tolist())], schema("scale int, freq array<long>")).coalesce(1).write.parquet(f"{path}/table")
-    blocks = ids.mapInArrow(_encoded(spark.sparkContext.broadcast(freq)), schema("shard int, block int, n long, payload binary"))
+    blocks = ids.drop("counts").mapInArrow(_encoded(spark.sparkContext.broadcast(freq)), schema("shard int, block int, n long, payload binary"))
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
