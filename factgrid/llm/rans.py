@@ -73,8 +73,6 @@ class Table:
 def coded(ids: np.ndarray, table: Table, lanes: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
     """Checkpoints (place in the words, states) and words."""
     steps = -(-len(ids) // lanes)
-    f, c = table.freq[ids], table.start[ids]
-    limit = f << np.uint64(63 - SCALE)
     state = np.full(lanes, LOW, dtype=np.uint64)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
@@ -82,14 +80,14 @@ def coded(ids: np.ndarray, table: Table, lanes: int) -> tuple[list[tuple[int, np
     for step in range(steps - 1, -1, -1):
         at = slice(step * lanes, min(len(ids), (step + 1) * lanes))
         k = at.stop - at.start
-        x, own = state[:k], f[at]
-        full = x >= limit[at]
+        x, own, first = state[:k], table.freq.take(ids[at]), table.start.take(ids[at])
+        full = x >= own << np.uint64(63 - SCALE)
         out = x[full]
         words.append((out & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         n += len(out)
         x = np.where(full, x >> np.uint64(32), x)
         q = x // own
-        state[:k] = (q << np.uint64(SCALE)) + c[at] + (x - q * own)
+        state[:k] = (q << np.uint64(SCALE)) + first + (x - q * own)
         if step % CHECK_STEPS == 0:
             marks.append((n, state.copy()))
     return [(n - done, s) for done, s in reversed(marks)], np.concatenate(words[::-1]) if words else np.empty(0, dtype=np.uint32)
@@ -105,8 +103,9 @@ def decoded(state: np.ndarray, words: np.ndarray, first: int, last: int, n: int,
         k = min(lanes, n - i)
         x = state[:k]
         low = x & mask
-        ids = table.slot[low]
-        x = table.freq[ids] * (x >> np.uint64(SCALE)) + low - table.start[ids]
+        ids = table.slot.take(low.view(np.int64))
+        at_id = ids.astype(np.int64)
+        x = table.freq.take(at_id) * (x >> np.uint64(SCALE)) + low - table.start.take(at_id)
         short = np.flatnonzero(x < LOW)
         x[short] = (x[short] << np.uint64(32)) | words[at : at + len(short)]
         at += len(short)
